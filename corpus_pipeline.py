@@ -1,8 +1,65 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: raw documents to packed training sequences.
 
-STAGES: list = []
+Every stage calls one operator of ``quarry.llm``, reads what the stage before
+it wrote, and (but for the last) returns the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import mixing, packing, quality_classifier, secret_scan, simhash
+from quarry.llm.common import materialize
+from quarry.llm.queries import MIX_WEIGHTS, tokenizer
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; labels of held-out rows are not learnt from."""
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality_classifier.score(docs.select(*COLUMNS), model, COLUMNS)
+    return scored.where(F.col("score") >= quality_classifier.THRESHOLD).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints: the one of the least id."""
+    found = simhash.near_duplicates(docs)
+    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
+    out = docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id"]) if twice else out
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret's span masked."""
+    masked = secret_scan.redact(secret_scan.scan(docs, keep=("lang", "source", "n_chars")))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents replicated to the sources' target weights, globally shuffled."""
+    return mixing.mix(docs.select(*COLUMNS), MIX_WEIGHTS).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens, placed in sequences."""
+    return packing.pack(docs, tokenizer())
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("secret scan", redact_secrets),
+    ("mixing to weights", mix_sources),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, license_scan, quality_rules, secret_scan, simhash
+from . import ann_graph, html_extract, license_scan, mixing, packing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,30 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ann_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann_graph.search(ann_graph.build(vectors), vectors.where("vec_id % 50 = 0"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
+def tokenizer() -> str:
+    """Where the public vocabulary file of the packing query lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -34,6 +58,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Target shares of the mixture, by characters; the other sources keep what is left.
+MIX_WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.08, "src3": 0.03}
+
+
+def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return mixing.mix(docs, MIX_WEIGHTS)
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(_table(spark, sf_dir, "pages"))
 
@@ -42,5 +75,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: Values of the rules as in quality_rules; windows are compared as text here.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), x -> x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ \t-\r]')) AS ls FROM d),
+u AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS p, ws FROM w WHERE len(ws) >= 8),
+v AS (SELECT doc_id, p, array_to_string(ws[p:p + 7], ' ') AS win FROM u),
+r AS (SELECT doc_id, p FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+c AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM r, (SELECT unnest(range(0, 8)) AS k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[ \t-\r]+', '', 'g'))::BIGINT AS word_chars,
+             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+             (length(t) - length(regexp_replace(t, '\p{Lu}+', '', 'g')))::BIGINT AS n_upper,
+             (length(t) - length(regexp_replace(t, '\p{L}+', '', 'g')))::BIGINT AS n_letters,
+             coalesce(c.n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+              + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+              + CASE WHEN 10 * n_upper > 3 * n_letters THEN 16 ELSE 0 END
+              + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 32 ELSE 0 END
+              + CASE WHEN 2 * n_letters < word_chars THEN 64 ELSE 0 END)::BIGINT AS failed_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
+"""
+
+OP9_SQL = """
+WITH w(source, weight) AS (VALUES {weights}),
+s AS (SELECT w.source, sum(length(text))::DOUBLE AS mass FROM documents LEFT JOIN w USING (source) GROUP BY w.source),
+t AS (SELECT sum(mass) AS total FROM s),
+r AS (SELECT s.source, CASE WHEN s.source IS NULL THEN {rest} ELSE weight END * total / mass AS rate FROM s LEFT JOIN w USING (source), t),
+k AS (SELECT unnest(range(0, 200)) AS k),
+f AS (SELECT r.source, list(c ORDER BY k) AS cdf FROM (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM r, k) AS r GROUP BY r.source),
+u AS (SELECT d.*, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u, w.source AS named FROM documents d LEFT JOIN w USING (source)),
+n AS (SELECT u.*, len(list_filter(cdf, c -> c <= u))::INTEGER AS mix_copies FROM u JOIN f ON u.named IS NOT DISTINCT FROM f.source)
+SELECT doc_id, text, lang, source, n_chars, mix_copies, mix_copy::INTEGER AS mix_copy,
+       ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || mix_copy), 1, 13))::BIGINT AS mix_key
+FROM (SELECT *, unnest(range(1, mix_copies + 1)) AS mix_copy FROM n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    weights = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in MIX_WEIGHTS.items())
+    return {"op1_quality_rules": OP1_SQL, "op9_poisson_mixing": OP9_SQL.format(weights=weights, rest=max(0.0, 1.0 - sum(MIX_WEIGHTS.values())))}
