@@ -78,8 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Values of the rules as in quality_rules; windows are compared as text here.
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), x -> x <> '') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ \t-\r]')) AS ls FROM d),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls FROM d),
 u AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS p, ws FROM w WHERE len(ws) >= 8),
 v AS (SELECT doc_id, p, array_to_string(ws[p:p + 7], ' ') AS win FROM u),
 r AS (SELECT doc_id, p FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
@@ -107,7 +107,7 @@ r AS (SELECT s.source, CASE WHEN s.source IS NULL THEN {rest} ELSE weight END *
 k AS (SELECT unnest(range(0, 200)) AS k),
 f AS (SELECT r.source, list(c ORDER BY k) AS cdf FROM (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM r, k) AS r GROUP BY r.source),
 u AS (SELECT d.*, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u, w.source AS named FROM documents d LEFT JOIN w USING (source)),
-n AS (SELECT u.*, len(list_filter(cdf, c -> c <= u))::INTEGER AS mix_copies FROM u JOIN f ON u.named IS NOT DISTINCT FROM f.source)
+n AS (SELECT u.*, len(list_filter(cdf, lambda c: c <= u))::INTEGER AS mix_copies FROM u JOIN f ON u.named IS NOT DISTINCT FROM f.source)
 SELECT doc_id, text, lang, source, n_chars, mix_copies, mix_copy::INTEGER AS mix_copy,
        ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || mix_copy), 1, 13))::BIGINT AS mix_key
 FROM (SELECT *, unnest(range(1, mix_copies + 1)) AS mix_copy FROM n)
