@@ -1,0 +1 @@
+"""A PySpark-native domain-intelligence analytics engine."""
