@@ -222,3 +222,103 @@ add(
 _SUFFIXES = ["example.com", "ther.example.org"]
 add("suffix_theta_join", lambda s, d: page_rows(s, d).where(~domains.suffix_match("domain", _SUFFIXES)).select("page_id", "domain"), "SELECT page_id, domain FROM page_rows WHERE NOT (suffix(domain, 'example.com') OR suffix(domain, 'ther.example.org'))", PAGE_ROWS)
 add("emails_found", lambda s, d: table(s, d, "documents").select("doc_id", text.joined(html.emails("text")).alias("emails")).where("emails <> ''"))
+
+# --- enrichment, rules, models ----------------------------------------------------------------
+from ..operators import classify as classifier  # noqa: E402
+from ..operators import detect, enrich, revenue  # noqa: E402
+
+
+def _people(spark, sf):
+    """Customers as domains, with a rank table, a link table and a list of bad ones made from their keys."""
+    base = table(spark, sf, "customer").select(F.concat(F.lit("www.d"), F.col("c_custkey").cast("string"), F.lit(".com")).alias("domain"), "c_custkey", "c_nationkey")
+    name = F.concat(F.lit("d"), F.col("c_custkey").cast("string"), F.lit(".com")).alias("domain")
+    ranks = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(name, F.floor("c_acctbal").cast("int").alias("tranco_rank"))
+    links = table(spark, sf, "customer").where("c_custkey % 5 = 0").select(name, (F.col("c_custkey") + 1).cast("int").alias("majestic_rank"), (F.col("c_nationkey") * 100).cast("int").alias("majestic_ref_subnets"))
+    bad = table(spark, sf, "customer").where("c_custkey % 7 = 0").select(name, F.element_at(F.array(F.lit("malware"), F.lit("phishing"), F.lit("disposable")), (F.col("c_custkey") % 3 + 1).cast("int")).alias("kind"))
+    return base, ranks, links, bad
+
+
+add(
+    "reputation_joins",
+    lambda s, d: enrich.reputation(*_people(s, d)).select("domain", "tranco_rank", "majestic_rank", "majestic_ref_subnets", "is_malware", "is_phishing", "is_disposable_email"),
+    """SELECT 'www.d' || c_custkey || '.com' AS domain, CASE WHEN c_custkey % 3 = 0 THEN CAST(floor(c_acctbal) AS INTEGER) END AS tranco_rank, CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey + 1 AS INTEGER) END AS majestic_rank,
+    CASE WHEN c_custkey % 5 = 0 THEN CAST(c_nationkey * 100 AS INTEGER) END AS majestic_ref_subnets, CASE WHEN c_custkey % 21 = 0 THEN 'true' ELSE '' END AS is_malware,
+    CASE WHEN c_custkey % 7 = 0 AND c_custkey % 3 = 1 THEN 'true' ELSE '' END AS is_phishing, CASE WHEN c_custkey % 7 = 0 AND c_custkey % 3 = 2 THEN 'true' ELSE '' END AS is_disposable_email FROM customer""",
+)
+add(
+    "enrich_left_joins",
+    lambda s, d: enrich.by_domain(
+        table(s, d, "orders").select(F.col("o_orderkey").alias("domain"), "o_custkey"),
+        table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("domain")).agg(F.count("*").alias("records"), F.max("l_shipdate").alias("last_seen")),
+        table(s, d, "events").groupBy(F.col("user_id").alias("domain")).agg(F.count("*").alias("hits")),
+    ).select("domain", F.coalesce("records", F.lit(0)).alias("records"), "last_seen", F.coalesce("hits", F.lit(0)).alias("hits")),
+    """SELECT o_orderkey AS domain, coalesce(records, 0) AS records, last_seen, coalesce(hits, 0) AS hits FROM orders
+    LEFT JOIN (SELECT l_orderkey, count(*) AS records, max(l_shipdate) AS last_seen FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey LEFT JOIN (SELECT user_id, count(*) AS hits FROM events GROUP BY 1) ON o_orderkey = user_id""",
+)
+add(
+    "network_by_address",
+    lambda s, d: enrich.by_address(
+        table(s, d, "orders").select(F.col("o_orderkey").alias("domain"), "o_custkey"), table(s, d, "customer").select(F.concat(F.lit("10."), F.col("c_custkey").cast("string")).alias("bgp_ip"), F.col("c_mktsegment").alias("bgp_asn_org")), F.when(F.col("o_custkey") % 4 != 0, F.concat(F.lit("10."), F.col("o_custkey").cast("string"))).otherwise("")
+    ).select("domain", "bgp_ip", "bgp_asn_org"),
+    "SELECT o_orderkey AS domain, ip AS bgp_ip, c_mktsegment AS bgp_asn_org FROM (SELECT *, CASE WHEN o_custkey % 4 <> 0 THEN '10.' || o_custkey ELSE '' END AS ip FROM orders) LEFT JOIN customer ON ip = '10.' || c_custkey",
+)
+add("blocklist_anti", lambda s, d: enrich.without(table(s, d, "supplier").select(F.col("s_suppkey").alias("domain"), "s_name"), table(s, d, "customer").where("c_acctbal < 0 or c_custkey % 2 = 0").select(F.col("c_custkey").alias("domain"))), "SELECT s_suppkey AS domain, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0 OR c_custkey % 2 = 0)")
+add("rank_join_nulls_last", lambda s, d: catalog.ranked(enrich.reputation(*_people(s, d)), 100).select("domain", "tranco_rank"), "SELECT 'www.d' || c_custkey || '.com' AS domain, CASE WHEN c_custkey % 3 = 0 THEN CAST(floor(c_acctbal) AS INTEGER) END AS tranco_rank FROM customer ORDER BY tranco_rank ASC NULLS LAST, domain LIMIT 100")
+_GATE = ["com", "org"]
+add(
+    "crawl_candidates",
+    lambda s, d: enrich.candidates(page_rows(s, d).select("page_id", "domain", F.when(F.col("page_id") % 9 != 0, "1.2.3.4").otherwise("").alias("dns_a"), F.when(F.col("page_id") % 4 != 0, "10:mx").otherwise("").alias("dns_mx"), F.when(F.col("page_id") % 5 != 0, "v=spf1 -all").otherwise("x").alias("dns_txt")), registries=["therin.example.net"], gate=_GATE).select("page_id", "domain"),
+    "SELECT page_id, domain FROM page_rows WHERE page_id % 9 <> 0 AND page_id % 4 <> 0 AND page_id % 5 <> 0 AND domain <> 'therin.example.net' AND (suffix(domain, '.com') OR suffix(domain, '.org')) AND length(split_part(domain, '.', 1)) >= 4 AND NOT regexp_matches(split_part(domain, '.', 1), '[0-9][0-9]') AND length(domain) - length(replace(domain, '-', '')) < 2",
+    PAGE_ROWS,
+)
+add("stage_funnel", lambda s, d: enrich.funnel(page_rows(s, d), {"com": F.endswith("domain", F.lit(".com")), "english": F.col("http_language") == "en", "long": F.length("html") > 3000}), "SELECT count(*) AS input, count(*) FILTER (suffix(domain, '.com')) AS com, count(*) FILTER (http_language = 'en') AS english, count(*) FILTER (length(html) > 3000) AS long FROM page_rows", PAGE_ROWS)
+PAGE_RULES = [("Tracker", [["track(0)"], ["track(1"]]), ("Advert", [['class="ad"']]), ("French", [['lang="fr"', "<nav>"]]), ("Secure", [["https://"]]), ("Absent", [["no such text"]])]
+_RULED = " || ".join(f"CASE WHEN {c} THEN '|{n}' ELSE '' END" for n, c in (("Tracker", "(contains(h, 'track(0)') OR contains(h, 'track(1'))"), ("Advert", "contains(h, 'class=\"ad\"')"), ("French", "(contains(h, 'lang=\"fr\"') AND contains(h, '<nav>'))"), ("Secure", "contains(h, 'https://')")))
+add("rule_detect", lambda s, d: page_rows(s, d).select("page_id", F.array_join(detect.matches(F.lower("html"), PAGE_RULES), "|").alias("tech")), f"SELECT page_id, substr({_RULED}, 2) AS tech FROM (SELECT page_id, lower(html) AS h FROM page_rows)", PAGE_ROWS)
+WORD_RULES = [("the ", "english", 3), ("which", "english", 1), (" der ", "german", 2), ("und ", "german", 2), (" les ", "french", 4)]
+add(
+    "rule_score",
+    lambda s, d: table(s, d, "documents").select("doc_id", detect.score(F.lower("text"), WORD_RULES).alias("m")).select("doc_id", *[F.col("m")[k].alias(k) for k in ("english", "french", "german")]),
+    "SELECT doc_id, " + ", ".join(f"CAST({' + '.join(f'CASE WHEN contains(lower(text), {chr(39)}{p}{chr(39)}) THEN {n} ELSE 0 END' for p, t, n in WORD_RULES if t == k)} AS INTEGER) AS {k}" for k in ("english", "french", "german")) + " FROM documents",
+)
+add("tech_detected", lambda s, d: detect.detect_tech(page_rows(s, d), "html", None).select("page_id", F.array_join("tech", "|").alias("tech")).groupBy("tech").agg(F.count("*").alias("n")))
+
+
+def _site_signals(spark, sf):
+    """Conversations' turns as page texts with a few signals beside them."""
+    return table(spark, sf, "pages").select(
+        "page_id", html.title("html").alias("http_title"), html.h1("html").alias("h1"), html.visible_text("html").alias("body_text"), html.nav_text("html").alias("nav_links"),
+        F.when(F.col("page_id") % 3 == 0, "Shopify|React").when(F.col("page_id") % 3 == 1, "Substack").otherwise("").alias("http_tech"), F.when(F.col("page_id") % 4 == 0, "Klaviyo|Loox").otherwise("").alias("http_apps"),
+        F.when(F.col("page_id") % 5 == 0, "Dentist").when(F.col("page_id") % 5 == 1, "ClothingStore").otherwise("").alias("http_schema_type"), F.when(F.col("page_id") % 7 == 0, "law").otherwise("com").alias("ctl_tld"),
+    )
+
+
+add(
+    "business_class",
+    lambda s, d: classifier.classify(_site_signals(s, d)).select("page_id", "business_model", "industry", "classification_confidence", "method"),
+    """SELECT page_id, CASE WHEN sure THEN CASE WHEN best = 0 THEN '' WHEN best = co THEN 'Consulting' WHEN best = ec THEN 'Ecommerce' ELSE 'Newsletter' END ELSE '' END AS business_model,
+    CASE WHEN sure THEN CASE WHEN ib = 0 THEN '' WHEN ib = fa THEN 'Fashion' WHEN ib = he THEN 'Healthcare' ELSE 'Legal' END ELSE '' END AS industry, CASE WHEN sure THEN conf ELSE 0.0 END AS classification_confidence,
+    CASE WHEN sure THEN array_to_string(list_filter([CASE WHEN page_id % 3 < 2 OR page_id % 4 = 0 THEN 'tech' END, CASE WHEN page_id % 5 < 2 THEN 'schema' END, CASE WHEN page_id % 7 = 0 THEN 'tld' END], lambda x: x IS NOT NULL), '+') ELSE '' END AS method
+    FROM (SELECT *, conf >= 0.55 AS sure FROM (SELECT *, floor(least(CASE WHEN best >= ib THEN best / greatest(ec + nl + co, 1)::DOUBLE ELSE ib / greatest(he + fa + le, 1)::DOUBLE END * 0.5 + least(greatest(best, ib) / 25.0::DOUBLE, 1.0) * 0.5, 0.99) * 100 + 0.5) / 100 AS conf FROM (
+    SELECT *, greatest(ec, nl, co) AS best, greatest(he, fa, le) AS ib FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 12 ELSE 0 END + CASE WHEN page_id % 4 = 0 THEN 8 ELSE 0 END + CASE WHEN page_id % 5 = 1 THEN 9 ELSE 0 END AS ec,
+    CASE WHEN page_id % 3 = 1 THEN 12 ELSE 0 END AS nl, CASE WHEN page_id % 5 = 0 THEN 8 ELSE 0 END AS co, CASE WHEN page_id % 5 = 0 THEN 10 ELSE 0 END AS he, CASE WHEN page_id % 5 = 1 THEN 10 ELSE 0 END AS fa, CASE WHEN page_id % 7 = 0 THEN 10 ELSE 0 END AS le FROM pages))))""",
+)
+
+
+def _revenue_rows(spark, sf):
+    return wide(spark, sf).select("domain", "http_status", "tranco_rank", "majestic_rank", F.col("rdap_registrar"), "http_tech", "http_apps", "business_model", "industry", F.lit("v=spf1 include:a include:b include:c").alias("dns_txt"), F.lit("aspmx.google.com").alias("dns_mx"))
+
+
+add("revenue_brackets", lambda s, d: revenue.estimate(_revenue_rows(s, d), 2024).groupBy("estimated_revenue", "estimated_employees").agg(F.count("*").alias("n")))
+_SCORES = [f"(o_orderkey * {k} % 17)" for k in (3, 5, 7, 11, 13)]
+add(
+    "softmax_brackets",
+    lambda s, d: table(s, d, "orders").select("o_orderkey", revenue.softmax_top([F.expr(x).cast("double") for x in _SCORES]).alias("t")).select("o_orderkey", F.col("t.place").alias("place"), (F.floor(F.col("t.share") * 1e6 + 0.5) / 1e6).alias("share")),
+    f"SELECT o_orderkey, CAST(list_position(s, b) - 1 AS INTEGER) AS place, floor(1.0 / list_sum(list_transform(s, lambda x: exp((x - b) / 2.0))) * 1e6 + 0.5) / 1e6 AS share FROM (SELECT o_orderkey, s, list_max(s) AS b FROM (SELECT o_orderkey, [{', '.join(f'{x}::DOUBLE' for x in _SCORES)}] AS s FROM orders))",
+)
+add(
+    "embedding_argmax",
+    lambda s, d: classifier.label_similarity(table(s, d, "embeddings"), classifier.centroids(table(s, d, "embeddings"))).select("vec_id", "best_label"),
+    """SELECT vec_id, label AS best_label FROM (SELECT e.vec_id, c.label, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_dot_product(CAST(e.embedding AS DOUBLE[]), c.v) DESC, c.label) AS n FROM embeddings e, (
+    SELECT label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)) c) WHERE n = 1""",
+)
