@@ -33,9 +33,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{label}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -69,6 +70,12 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def gather(batches) -> pa.Table | None:
+    """A partition's batches as one table; None if it has no row."""
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held) if held else None
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes, without decoding them."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, partitions, small_batches
+from .common import as_bytes, gather, materialize, partitions, small_batches
 
 SEED = 42
 #: Colliding fingerprints of a task are compared directly up to this many per variant.
@@ -147,8 +147,8 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     rows = distinct.select("fp", "node", F.explode(variant).alias("v")).select(F.col("v.key").alias("key"), F.col("v.flip").alias("flip"), "fp", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        table = gather(batches)
+        if table is None:
             return
         key, flip, fp, node = (table.column(i).to_numpy() for i in range(4))
         order = np.argsort(key, kind="stable")
