@@ -50,8 +50,13 @@ _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest): kind is ``open``, ``close`` or ``text``; comments and raw elements are left out."""
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
+        if at > last:  # no tag can end any more: one that begins is dropped, with all behind it
+            rest = re.split(r"<[a-zA-Z/!?]", page[at:], maxsplit=1)[0]
+            if rest:
+                yield "text", rest, ""
+            return
         m = _TOKEN.match(page, at)
         at = m.end()
         name = m[2] or m[5]
