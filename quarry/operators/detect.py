@@ -115,3 +115,32 @@ SHOP_ADDRESSES = ["23.227.36.", "23.227.37.", "23.227.38.", "23.227.39."]
 def dns_tech(a: str = "dns_a") -> Column:
     by_ip = F.exists(F.split(filled(a), "\\|"), lambda ip: reduce(lambda x, y: x | y, [ip.startswith(p) for p in SHOP_ADDRESSES]))
     return F.array_distinct(F.array_compact(F.array(F.when(by_ip, "Shopify"), *[F.when(F.contains(F.lower(filled(f)), F.lit(part)), name) for f, part, name in DNS_TECH])))
+
+
+def detect_apps(body: str | Column) -> Column:
+    """Shop apps and plugins of a page, sorted and distinct."""
+    from ..rules import apps
+
+    page = F.lower(filled(col(body)))
+    return F.array_sort(F.array_distinct(F.concat(*[matches(page, r) for r in (apps.SHOP_HOSTS, apps.SHOP_MARKERS, apps.PLUGINS, apps.PLUGIN_MARKERS)])))
+
+
+def has_spf(txt: str | Column) -> Column:
+    return F.contains(F.lower(filled(col(txt))), F.lit("v=spf1"))
+
+
+def has_dmarc(txt: str | Column) -> Column:
+    return F.contains(F.lower(filled(col(txt))), F.lit("v=dmarc1"))
+
+
+def threat(*flags: str) -> Column:
+    """Any flag set?"""
+    from ..functions.text import flag
+
+    return reduce(lambda a, b: a | b, map(flag, flags))
+
+
+def evidence_items(evidence: str | Column) -> Column:
+    """Array of (signal, value, bracket) of an evidence string."""
+    parsed = F.transform(F.array_remove(F.split(filled(col(evidence)), "\\|"), ""), lambda x: F.struct(F.substring_index(x, ":", 1).alias("signal"), F.regexp_extract(x, "^[^:]*:(.*)→[^→]*$", 1).alias("value"), F.substring_index(x, "→", -1).alias("bracket")))
+    return parsed

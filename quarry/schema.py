@@ -37,4 +37,5 @@ CERT_DDL = "ctl_domain string, ctl_tld string, ctl_issuer string, ctl_subdomain_
 
 def row_schema() -> T.StructType:
     """The observation row as a schema; missing strings are empty, never null."""
-    return T.StructType.fromDDL(ROW_DDL)
+    types = {"string": T.StringType(), "int": T.IntegerType(), "float": T.FloatType(), "timestamp": T.TimestampType()}
+    return T.StructType([T.StructField(name, types[kind]) for name, kind in (x.split() for x in ROW_DDL.split(","))])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def blocklist(lists: dict[str, DataFrame]) -> DataFrame:
 
 def whois(text: DataFrame) -> DataFrame:
     """Network data of ``AS | IP | prefix | CC | registry | date | organisation`` lines; the organisation may hold bars."""
-    parts = F.transform(F.split("value", "\\|"), F.trim)
+    parts = F.transform(F.split("value", "\\|"), lambda x: F.trim(x))
     rows = text.where(F.size(parts) >= 7).select(
         parts[1].alias("bgp_ip"), parts[0].alias("bgp_asn_number"), F.array_join(F.slice(parts, F.lit(7), F.size(parts)), " | ").alias("bgp_asn_org"), parts[3].alias("bgp_asn_country"), parts[2].alias("bgp_asn_prefix")
     )
@@ -183,8 +184,6 @@ def certificates(entries: DataFrame, column: str = "leaf_input") -> DataFrame:
     The header is read natively; the certificate itself in Arrow batches, as no
     built-in reads DER.
     """
-    import pandas as pd
-
     @F.pandas_udf("struct<subject:string,issuer:string,names:array<string>>")
     def decode(der: pd.Series) -> pd.DataFrame:
         found = [_der(bytes(x)) if x is not None else None for x in der]
