@@ -49,7 +49,7 @@ def blocklist(lists: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for kind, text in lists.items():
         words = F.split(F.lower(F.trim("value")), "\\s+")
-        name = F.when(F.size(words) > 1, words[1]).otherwise(words[0])
+        name = F.coalesce(F.get(words, F.lit(1)), F.get(words, F.lit(0)))
         parts.append(text.where((F.trim("value") != "") & ~F.col("value").rlike("^\\s*[#!]")).select(strip_www(name).alias("domain"), F.lit(KINDS.index(kind)).alias("p")))
     rows = parts[0]
     for other in parts[1:]:
@@ -61,8 +61,9 @@ def blocklist(lists: dict[str, DataFrame]) -> DataFrame:
 def whois(text: DataFrame) -> DataFrame:
     """Network data of ``AS | IP | prefix | CC | registry | date | organisation`` lines; the organisation may hold bars."""
     parts = F.transform(F.split("value", "\\|"), lambda x: F.trim(x))
+    at = lambda i: F.get(parts, F.lit(i))
     rows = text.where(F.size(parts) >= 7).select(
-        parts[1].alias("bgp_ip"), parts[0].alias("bgp_asn_number"), F.array_join(F.slice(parts, F.lit(7), F.size(parts)), " | ").alias("bgp_asn_org"), parts[3].alias("bgp_asn_country"), parts[2].alias("bgp_asn_prefix")
+        at(1).alias("bgp_ip"), at(0).alias("bgp_asn_number"), F.array_join(F.slice(parts, F.lit(7), F.size(parts)), " | ").alias("bgp_asn_org"), at(3).alias("bgp_asn_country"), at(2).alias("bgp_asn_prefix")
     )
     return rows.where(F.col("bgp_asn_number").rlike("^[0-9]+"))
 
@@ -70,7 +71,7 @@ def whois(text: DataFrame) -> DataFrame:
 def rdap_servers(bootstrap: Column | str) -> Column:
     """Array of ``(tld, url)`` of a bootstrap document."""
     doc = F.from_json(bootstrap, "services array<array<array<string>>>")
-    return F.flatten(F.transform(doc["services"], lambda s: F.transform(s[0], lambda t: F.struct(F.lower(t).alias("tld"), F.element_at(s[1], 1).alias("url")))))
+    return F.flatten(F.transform(doc["services"], lambda s: F.transform(F.get(s, F.lit(0)), lambda t: F.struct(F.lower(t).alias("tld"), F.get(F.get(s, F.lit(1)), F.lit(0)).alias("url")))))
 
 
 def moment(c: Column | str) -> Column:
@@ -81,7 +82,7 @@ def moment(c: Column | str) -> Column:
 def rdap(answers: DataFrame, body: str = "body") -> DataFrame:
     """Registration columns of RDAP answers; an unreadable answer gives nulls and an error."""
     doc = F.from_json(body, RDAP_DDL)
-    event = lambda name: moment(F.filter(F.col("_d.events"), lambda e: e["eventAction"] == name)[0]["eventDate"])
+    event = lambda name: moment(F.get(F.filter(F.col("_d.events"), lambda e: e["eventAction"] == name), F.lit(0))["eventDate"])
     registrar = F.filter(F.col("_d.entities"), lambda e: F.array_contains(e["roles"], "registrar"))
     # the card's second member lists [name, parameters, type, value]
     cards = F.from_json(F.get(F.get(registrar, F.lit(0))["vcardArray"], F.lit(1)), "array<array<string>>")
