@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
+    # shuffle files behind what is now a table go once the driver lets go of their plan
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, partitions, small_batches
+from .common import as_bytes, gather, materialize, partitions, small_batches
 
 WIDTH = 100
 GRAM = 40
@@ -214,16 +214,21 @@ def _classes(gram: np.ndarray, around: np.ndarray, doc: np.ndarray, at: np.ndarr
     return order, (doc != doc[first]) | (at != at[first])
 
 
-_FOUND = "key long, around long, doc long, at long, low int, high int"
+_FOUND = "key long, around long, doc long, at long, span long"
 
 
-def _batch(key, around, doc, at, low, high) -> pa.RecordBatch:
-    columns = [np.asarray(key).astype(np.uint64).view(np.int64), np.asarray(around).astype(np.uint64).view(np.int64), doc, at, low.astype(np.int32), high.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "around", "doc", "at", "low", "high"])
+def _batch(key, around, doc, at, span) -> pa.RecordBatch:
+    columns = [np.asarray(key).astype(np.uint64).view(np.int64), np.asarray(around).astype(np.uint64).view(np.int64), doc, at, span]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "around", "doc", "at", "span"])
+
+
+def _span(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How far a gram's surroundings reach before and after its place, in one number."""
+    return (at - low) << 32 | (high - at)
 
 
 def _scan(width: int, gram: int, segment: int):
-    """Documents to grams.  A row is a gram (``low``, ``high``: its surroundings), or with ``at`` of -1 an interval to remove."""
+    """Documents to grams.  A row is a gram (``span``: its surroundings' reach), or with ``at`` of -1 an interval to remove, from ``around`` to ``span``."""
     reach = width - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +249,10 @@ def _scan(width: int, gram: int, segment: int):
             d, a, b = _intervals(doc[again], low[again], high[again])
             keep = ~again
             spread = _mix(d.astype(np.uint64) + a.astype(np.uint64))
-            return _batch(np.concatenate((key[keep], spread)), np.concatenate((around[keep], spread)), np.concatenate((doc[keep], d)), np.concatenate((at[keep], np.full(len(d), -1))), np.concatenate((low[keep], a)), np.concatenate((high[keep], b)))
+            return _batch(
+                np.concatenate((key[keep], spread)), np.concatenate((around[keep], a.astype(np.uint64))), np.concatenate((doc[keep], d)),
+                np.concatenate((at[keep], np.full(len(d), -1))), np.concatenate((_span(at, low, high)[keep], b)),
+            )
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
@@ -269,13 +277,14 @@ def _collapse(large: int):
     """Rows of a bucket to intervals (``at`` -1) and to surroundings that must be sorted (``key``: the bucket; ``around``: 1 if it is large)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        table = gather(batches)
+        if table is None:
             return
-        key, around, doc, at, low, high = (table.column(i).to_numpy() for i in range(6))
+        key, around, doc, at, span = (table.column(i).to_numpy() for i in range(5))
         done = at < 0
-        removed = [(doc[done], low[done], high[done])]
-        key, around, doc, at, low, high = (x[~done] for x in (key, around, doc, at, low, high))
+        removed = [(doc[done], around[done], span[done])]
+        key, around, doc, at, span = (x[~done] for x in (key, around, doc, at, span))
+        low, high = at - (span >> 32), at + (span & 0xFFFFFFFF)
         order, again = _classes(key, around, doc, at)
         key, doc, at, low, high = (x[order] for x in (key, doc, at, low, high))
         removed.append((doc[again], low[again], high[again]))
@@ -288,8 +297,8 @@ def _collapse(large: int):
         d, a, b = _intervals(*(np.concatenate(x) for x in zip(*removed)))
         several = count > 1
         yield _batch(
-            np.concatenate((np.zeros(len(d), np.int64), key[several])), np.concatenate((np.zeros(len(d), np.int64), (count[several] > large).astype(np.int64))), np.concatenate((d, doc[several])),
-            np.concatenate((np.full(len(d), -1), at[several])), np.concatenate((a, low[several])), np.concatenate((b, high[several])),
+            np.concatenate((np.zeros(len(d), np.int64), key[several])), np.concatenate((a, (count[several] > large).astype(np.int64))), np.concatenate((d, doc[several])),
+            np.concatenate((np.full(len(d), -1), at[several])), np.concatenate((b, _span(at, low, high)[several])),
         )
 
     return run
@@ -304,7 +313,9 @@ def _fetch(width: int, gram: int):
             out: list[tuple] = []
             for doc, text, asked in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 for x in asked:
-                    at, low, part = x["at"], x["low"], text[x["low"] : x["high"]]
+                    at = x["at"]
+                    low, high = at - (x["span"] >> 32), at + (x["span"] & 0xFFFFFFFF)
+                    part = text[low:high]
                     if x["around"]:  # a string through the gram holds `side` bytes more before it or after it
                         mask = (1 << 63) - 1
                         out.extend((int.from_bytes(hashlib.blake2b(k + x["key"].to_bytes(8, "little", signed=True) + s, digest_size=8).digest(), "little") & mask, doc, low, part) for k, s in ((b"<", text[max(0, at - side) : at]), (b">", text[at + gram : at + gram + side])))
@@ -345,7 +356,7 @@ def _sort(width: int, chunk: int):
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``doc`` (its place in document order), ``doc_id`` and ``text``.
+    """``doc`` (its place in document order), ``text`` and, where it differs, ``doc_id``.
 
     Where ids are whole (none null, none twice) the id itself is the number.
     Else distinct (id, text hash) pairs are ranked: a null id comes first, rows
@@ -354,7 +365,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     twice = rows.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
     if not twice:
-        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+        return rows.select(F.col("doc_id").alias("doc"), "text").where("doc is not null")
     rows = rows.withColumn("_h", F.xxhash64("text"))
     pairs = rows.select("doc_id", "_h").distinct().orderBy(F.asc_nulls_first("doc_id"), "_h")
     ranks = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("_id long, _g long, doc long")
@@ -369,10 +380,10 @@ def removed(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, segment: int
     texts = rows.select("doc", "text")
     found = texts.mapInArrow(_scan(width, gram, segment), _FOUND).repartition(parts, "key").mapInArrow(_collapse(large), _FOUND)
     found = materialize(found, "grams")
-    asked = found.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("key", "around", "at", "low", "high")).alias("asked"))
-    pieces = texts.join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "asked").mapInArrow(_fetch(width, gram), "key long, doc long, start long, bytes binary")
+    asked = found.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("key", "around", "at", "span")).alias("asked"))
+    pieces = texts.join(asked.where("doc is not null").hint("shuffle_hash"), "doc").select("doc", "text", "asked").mapInArrow(_fetch(width, gram), "key long, doc long, start long, bytes binary")
     sorted_ = pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sort(width, chunk), "doc long, low long, high long")
-    return found.where("at < 0").select("doc", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high")).unionByName(sorted_)
+    return found.where("at < 0").select("doc", F.col("around").alias("low"), F.col("span").alias("high")).unionByName(sorted_)
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, **sizes: int) -> DataFrame:
@@ -386,7 +397,9 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, **sizes: int) -
     small_batches(docs.sparkSession, 512)
     rows = numbered(docs)
     cuts = removed(rows, width, gram, **sizes).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("cuts"))
-    joined = rows.join(cuts.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "cuts")
+    # with ids as numbers both joins read the same two columns of the texts, so their exchange is made once
+    ids = "doc_id" if "doc_id" in rows.columns else "doc"
+    joined = rows.join(cuts.hint("shuffle_hash"), "doc", "left").select(F.col(ids).alias("doc_id"), "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
