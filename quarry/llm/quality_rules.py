@@ -34,10 +34,11 @@ RULES = (
     Rule("few_words", "n_words < 20"),
     Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     Rule("symbol_heavy", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule("shouting", "10 * n_upper > 3 * n_letters"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
     Rule("few_letters", "2 * n_letters < word_chars"),
+    Rule("stutter", "4 * n_stutter > n_words"),
 )
 
 
@@ -84,6 +85,7 @@ def ledger(docs: DataFrame) -> DataFrame:
             (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
             _matches("\\p{Lu}+").cast("long").alias("n_upper"),
             _matches("\\p{L}+").cast("long").alias("n_letters"),
+            F.expr("cast(size(filter(_w, (w, i) -> coalesce(w = get(_w, i - 1), false))) as long)").alias("n_stutter"),
             F.expr(f"if(size(_w) > {WINDOW}, transform(sequence(0, size(_w) - {WINDOW}), i -> xxhash64({spans})), array())").alias("_h"),
         )
         # only texts with a repeated window pay for the sort that finds where

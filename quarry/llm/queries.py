@@ -89,13 +89,13 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[ \
              len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
              (length(t) - length(regexp_replace(t, '\p{Lu}+', '', 'g')))::BIGINT AS n_upper,
              (length(t) - length(regexp_replace(t, '\p{L}+', '', 'g')))::BIGINT AS n_letters,
-             coalesce(c.n, 0)::BIGINT AS n_repeat_words
+             len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1]))::BIGINT AS n_stutter, coalesce(c.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
-              + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+              + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
               + CASE WHEN 10 * n_upper > 3 * n_letters THEN 16 ELSE 0 END
               + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 32 ELSE 0 END
-              + CASE WHEN 2 * n_letters < word_chars THEN 64 ELSE 0 END)::BIGINT AS failed_bits FROM m)
+              + CASE WHEN 2 * n_letters < word_chars THEN 64 ELSE 0 END + CASE WHEN 4 * n_stutter > n_words THEN 128 ELSE 0 END)::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
 """
 
