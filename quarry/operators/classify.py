@@ -201,16 +201,43 @@ def points_of(c: dict[str, Column]) -> Points:
     for words in _entries(TLD_POINTS):
         points.add("tld", "industry", " ".join(words[1:-1]), F.lower(c["ctl_tld"]) == words[0], int(words[-1]))
     points.add("tld", "model", "Education", F.lower(c["ctl_tld"]) == "edu", 10)
-    first, body = F.lower(F.concat_ws(" ", c["http_title"], c["h1"], c["http_meta_description"])), F.lower(c["body_text"])
     for side, patterns in (("model", MODEL_PATTERNS), ("industry", INDUSTRY_PATTERNS)):
-        for pattern, category, amount in patterns:
-            points.add("keywords", side, category, first.rlike(pattern) | body.rlike(pattern), F.when(first.rlike(pattern), amount).otherwise(amount // 2))
+        for i, (_, category, _) in enumerate(patterns):
+            gained = F.get(c[f"hits_{side}"], F.lit(i))
+            points.add("keywords", side, category, gained > 0, gained)
     for needle, gains in TXT_POINTS.items():
         for category, amount in gains:
             points.add("dns", _side(category), category, F.contains(F.lower(c["dns_txt"]), F.lit(needle)), amount)
     return points
 
 
+def alternatives(pattern: str) -> tuple[list[str], str]:
+    """The plain texts among a pattern's outermost alternatives, and the expression of the others."""
+    parts, depth, now = [], 0, ""
+    for ch in pattern:
+        depth += (ch in "([") - (ch in ")]")
+        if ch == "|" and not depth:
+            parts, now = [*parts, now], ""
+        else:
+            now += ch
+    parts.append(now)
+    plain = [x for x in parts if not re.search(r"[\\\[\](){}?*+.^$]", x)]
+    return plain, "|".join(x for x in parts if x not in plain)
+
+
+def found(text: Column, pattern: str) -> Column:
+    """Does a pattern occur?  Plain texts are searched as such, which costs a small part of an expression's scan."""
+    plain, rest = alternatives(pattern)
+    tests = [F.contains(text, F.lit(x)) for x in plain] + ([text.rlike(rest)] if rest else [])
+    return reduce(lambda a, b: a | b, tests)
+
+
+def keyword_hits(c: dict[str, Column], patterns: list[tuple[str, str, int]]) -> Column:
+    """Points of each pattern, in order: full in title, heading or description, half in the body."""
+    first, body = c["first"], c["body"]
+    return F.array(*[F.when(found(first, p), n).when(found(body, p), n // 2).otherwise(0) for p, _, n in patterns])
+
+
 def winner(scores: Column) -> Column:
     """The best of an array of (points, -place, name); null where none has points."""
     return F.array_max(F.filter(scores, lambda x: x["points"] > 0))
@@ -233,7 +260,12 @@ def classify(sites: DataFrame) -> DataFrame:
     """Add ``business_model, industry, classification_confidence, method``; inputs that are missing or null count as empty."""
     have = set(sites.columns)
     text = sites.withColumns({f"_i_{n}": filled(n) if n in have else F.lit("") for n in INPUTS})
-    points = points_of({n: F.col(f"_i_{n}") for n in INPUTS})
+    inputs = {n: F.col(f"_i_{n}") for n in INPUTS}
+    text = text.withColumns({"_i_first": F.lower(F.concat_ws(" ", inputs["http_title"], inputs["h1"], inputs["http_meta_description"])), "_i_body": F.lower(inputs["body_text"])})
+    inputs |= {"first": F.col("_i_first"), "body": F.col("_i_body")}
+    # every expression is matched once; points and layers read the result
+    text = text.withColumns({"_i_hits_model": keyword_hits(inputs, MODEL_PATTERNS), "_i_hits_industry": keyword_hits(inputs, INDUSTRY_PATTERNS)})
+    points = points_of({n: F.col(f"_i_{n}") for n in (*INPUTS, "hits_model", "hits_industry")})
     scores = lambda side, names: F.array(*[F.struct(t.cast("int").alias("points"), F.lit(-i).alias("place"), F.lit(n).alias("name")) for i, n in enumerate(names) if (t := points.total(side, n)) is not None])
     scored = text.withColumns({"_m": scores("model", MODELS), "_n": scores("industry", INDUSTRIES), "_method": F.array_join(F.array_compact(F.array(*[F.when(points.fired(x), F.lit(x)) for x in LAYERS])), "+"), "_skip": unclassifiable(F.col("_i_http_title"), F.col("_i_body_text"))})
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["points"])
@@ -248,12 +280,7 @@ def classify(sites: DataFrame) -> DataFrame:
             "method": F.when(sure, F.col("_method")).otherwise(""),
         }
     )
-    return out.drop("_m", "_n", "_method", "_skip", "_wm", "_wn", "_conf", *[f"_i_{n}" for n in INPUTS])
-
-
-def portable(pattern: str) -> str:
-    """A pattern for engines without ``\\/``."""
-    return re.sub(r"\\/", "/", pattern)
+    return out.drop("_m", "_n", "_method", "_skip", "_wm", "_wn", "_conf", *[f"_i_{n}" for n in (*INPUTS, "first", "body", "hits_model", "hits_industry")])
 
 
 def label_similarity(vectors: DataFrame, labels: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:

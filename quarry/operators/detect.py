@@ -11,9 +11,14 @@ from ..functions.text import col, filled
 from ..rules import Rules, tech
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def table(rules: Rules) -> Column:
     """Rules as one array literal; a lambda over it keeps the plan small however many there are."""
-    return F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.array(*map(F.lit, parts)) for parts in alternatives]).alias("any")) for name, alternatives in rules])
+    group = lambda parts: f"array({', '.join(map(_quoted, parts))})"
+    return F.expr("array(" + ", ".join(f"named_struct('name', {_quoted(name)}, 'any', array({', '.join(map(group, alternatives))}))" for name, alternatives in rules) + ")")
 
 
 def matches(text: str | Column, rules: Rules) -> Column:

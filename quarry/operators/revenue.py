@@ -129,27 +129,30 @@ ENV_NAMES, API_NAMES, DOC_NAMES = "staging dev stg uat prod preprod".split(), "a
 INDUSTRY_PRIOR = "Finance => i3 e2 => Finance; Healthcare => i3 e2 => Healthcare; Government => i3 e2 => Government; Education => i2 s2 => Education; Real Estate => s2 i2 => RealEstate"
 
 _NONE = "cast(null as struct<m:int,s:int,i:int,e:int,l:int,evidence:string>)"
+_TEXTS = "rdap_registrar ctl_issuer dns_mx dns_txt http_tech http_pages rdap_nameservers bgp_asn_org http_schema_type http_title http_meta_description".split()
+_COUNTS = "http_tech http_apps http_emails dns_a dns_aaaa".split()
+_NUMBERS = "tranco_rank majestic_rank majestic_ref_subnets ctl_subdomain_count".split()
 
 
-def _gain(signal: str, points: str, evidence: Column | str | None) -> Column:
-    """Points by bracket and the evidence text."""
+# Rules become SQL text over columns prepared once: one expression is parsed in place of thousands built by hand.
+def _quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _gain(signal: str, points: str, evidence: str | None) -> str:
+    """Points by bracket and the evidence text; ``evidence`` is SQL, None for none."""
     amounts = {p[0]: int(p[1:]) for p in points.split()}
     bracket = BRACKETS[LETTERS.index(points.split()[0][0])]
-    text = F.lit(None).cast("string") if evidence is None else F.concat(F.lit(f"{signal}:"), evidence if isinstance(evidence, Column) else F.lit(evidence), F.lit(f"→{bracket}"))
-    return F.struct(*[F.lit(amounts.get(k, 0)).alias(k) for k in LETTERS], text.alias("evidence"))
+    text = "cast(null as string)" if evidence is None else f"concat({_quote(signal + ':')}, {evidence}, {_quote('→' + bracket)})"
+    return "named_struct(" + ", ".join(f"'{k}', {amounts.get(k, 0)}" for k in LETTERS) + f", 'evidence', {text})"
 
 
-def _chain(steps: list[tuple[Column, Column]]) -> Column:
-    if not steps:
-        return F.expr(_NONE)
-    found = F.when(*steps[0])
-    for step in steps[1:]:
-        found = found.when(*step)
-    return found
+def _chain(steps: list[tuple[str, str]]) -> str:
+    return "case " + " ".join(f"when {condition} then {gain}" for condition, gain in steps) + " end"
 
 
-def _any(text: Column, needles: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
+def _any(text: str, needles: list[str]) -> str:
+    return "(" + " or ".join(f"contains({text}, {_quote(n)})" for n in needles) + ")"
 
 
 def _parts(rule: str) -> tuple[str, str, str]:
@@ -157,82 +160,89 @@ def _parts(rule: str) -> tuple[str, str, str]:
     return condition, points, evidence
 
 
-def _by_text(signal: str, text: Column, rules: str) -> Column:
+def _by_text(signal: str, text: str, rules: str) -> str:
     steps = []
     for rule in filter(None, map(str.strip, rules.splitlines())):
         condition, points, evidence = _parts(rule)
-        steps.append(((text == "") if not condition else _any(text, [x.strip() for x in condition.split(",")]), _gain(signal, points, evidence or None)))
+        steps.append((_any(text, [x.strip() for x in condition.split(",")]) if condition else f"{text} = ''", _gain(signal, points, _quote(evidence) if evidence else None)))
     return _chain(steps)
 
 
-def _by_number(signal: str, number: Column, rules: str) -> Column:
+def _by_number(signal: str, number: str, rules: str) -> str:
     steps = []
     for rule in rules.split(";"):
         condition, points, evidence = _parts(rule)
-        bound = lambda sign: F.lit(int(condition.removeprefix(sign)))  # noqa: E731, B023
-        holds = number.isNotNull() if condition == "else" else number <= bound("<=") if condition.startswith("<=") else number < bound("<") if condition.startswith("<") else number >= bound(">=")
         before, mark, after = evidence.partition("#")
-        text = None if not evidence else F.concat(F.lit(before), number.cast("string"), F.lit(after)) if mark else F.lit(before)
-        steps.append((holds, _gain(signal, points, text)))
+        text = None if not evidence else f"concat({_quote(before)}, cast({number} as string), {_quote(after)})" if mark else _quote(before)
+        steps.append((f"{number} is not null" if condition == "else" else f"{number} {condition}", _gain(signal, points, text)))
     return _chain(steps)
 
 
-def signals(c, as_of_year: Column) -> list[Column]:
-    """One gain for each signal, in the order in which evidence is listed; ``c`` gives a column by name, empty if missing."""
-    low = lambda name: F.lower(filled(c(name)))
+def prepared(c, as_of_year: Column) -> dict[str, Column]:
+    """Columns that rules read: lower-case texts, counts of values, whole numbers, the age in years; ``c`` gives a column by name, empty if missing."""
     number = lambda name: F.try_to_number(F.regexp_extract(filled(c(name).cast("string")), "^([0-9]{1,9})", 1), F.lit("999999999")).cast("int")
-    count = lambda name: F.size(values(c(name)))
-    first = lambda key: _by_text(key[0], low(key[1]), FIRST_MATCH[key])
+    year = F.try_to_number(F.regexp_extract(filled(c("rdap_domain_created_at").cast("string")), "^([0-9]{4})", 1), F.lit("9999")).cast("int")
+    names = values(F.lower(filled(c("ctl_subdomains"))))
+    exact, prefixes = F.array(*map(F.lit, INFRA_NAMES)), F.array(*[F.lit(n + "-") for n in INFRA_NAMES])
+    return (
+        {f"_t_{n}": F.lower(filled(c(n))) for n in _TEXTS}
+        | {f"_c_{n}": F.size(values(c(n))) for n in _COUNTS}
+        | {f"_n_{n}": number(n) for n in _NUMBERS}
+        | {"_t_og": filled(c("http_og_type")), "_t_asn": filled(c("bgp_asn_number").cast("string")), "_t_industry": filled(c("industry")), "_age": as_of_year - year, "_names": names}
+        | {"_infra": F.size(F.filter(names, lambda x: F.array_contains(exact, x) | F.exists(prefixes, lambda p: x.startswith(p))))}
+    )
 
-    def each(name: str) -> list[Column]:
+
+def signals() -> list[str]:
+    """One gain for each signal over :func:`prepared`'s columns, in the order in which evidence is listed."""
+    first = lambda key: _by_text(key[0], f"_t_{key[1]}", FIRST_MATCH[key])
+
+    def each(name: str) -> list[str]:
         out = []
         for fields, rule in EACH_MATCH[name]:
             condition, points, evidence = _parts(rule)
-            text = F.concat_ws(" ", *map(low, fields.split("+")))
-            tests = [F.contains(low(x.split("@")[1]) if "@" in x else text, F.lit(x.split("@")[0])) for x in map(str.strip, condition.split(","))]
+            tests = []
+            for x in map(str.strip, condition.split(",")):
+                needle, _, only = x.partition("@")
+                tests += [f"contains(_t_{f}, {_quote(needle)})" for f in ([only] if only else fields.split("+"))]
             signal, value = evidence.split(":", 1)
-            out.append(F.when(reduce(lambda a, b: a | b, tests), _gain(signal, points, value)))
+            out.append(_chain([(" or ".join(tests), _gain(signal, points, _quote(value)))]))
         return out
 
-    txt, org = low("dns_txt"), low("bgp_asn_org")
-    short_org = F.trim(F.left(F.split(org, ",")[0], F.lit(20)))
-    names = values(F.lower(filled(c("ctl_subdomains"))))
-    infra = F.size(F.filter(names, lambda x: reduce(lambda a, b: a | b, [(x == n) | x.startswith(n + "-") for n in INFRA_NAMES])))
-    among = lambda wanted: F.exists(names, lambda x: x.isin(wanted))
-    schema, headline = low("http_schema_type"), F.concat_ws(" ", low("http_title"), low("http_meta_description"))
-    rank = number("tranco_rank")
-    year = F.try_to_number(F.regexp_extract(filled(c("rdap_domain_created_at").cast("string")), "^([0-9]{4})", 1), F.lit("9999")).cast("int")
-    records = count("dns_a") + count("dns_aaaa")
+    among = lambda wanted: f"arrays_overlap(_names, array({', '.join(map(_quote, wanted))}))"
+    short_org = "trim(left(split(_t_bgp_asn_org, ',')[0], 20))"
+    infra = "concat(cast(_infra as string), '_infra')"
+    headline = lambda *needles: " or ".join(_any(f"_t_{f}", list(needles)) for f in ("http_title", "http_meta_description"))
     return [
-        F.coalesce(_by_number("tranco", rank, BOUNDS["tranco"]), _gain("tranco", "m3", None)),
-        _by_number("majestic", number("majestic_rank"), BOUNDS["majestic"]),
-        _by_number("ref_subnets", number("majestic_ref_subnets"), BOUNDS["ref_subnets"]),
+        f"coalesce({_by_number('tranco', '_n_tranco_rank', BOUNDS['tranco'])}, {_gain('tranco', 'm3', None)})",
+        _by_number("majestic", "_n_majestic_rank", BOUNDS["majestic"]),
+        _by_number("ref_subnets", "_n_majestic_ref_subnets", BOUNDS["ref_subnets"]),
         first(("registrar", "rdap_registrar")),
         first(("ssl_issuer", "ctl_issuer")),
         first(("mx", "dns_mx")),
-        F.when(F.contains(txt, F.lit("v=spf1")), _by_number("spf_includes", F.regexp_count(txt, F.lit("include:")), BOUNDS["spf_includes"])).otherwise(_gain("spf_includes", "m2", None)),
-        _chain([(~F.contains(txt, F.lit("v=dmarc1")), _gain("dmarc", "m2", None)), (F.contains(txt, F.lit("p=reject")), _gain("dmarc", "i5 e4 l2", "p=reject")), (F.contains(txt, F.lit("p=quarantine")), _gain("dmarc", "s3 i3", "p=quarantine")), (F.contains(txt, F.lit("p=none")), _gain("dmarc", "s2 m1", "p=none"))]),
+        f"if(contains(_t_dns_txt, 'v=spf1'), {_by_number('spf_includes', chr(39).join(('regexp_count(_t_dns_txt, ', 'include:', ')')), BOUNDS['spf_includes'])}, {_gain('spf_includes', 'm2', None)})",
+        _chain([("not contains(_t_dns_txt, 'v=dmarc1')", _gain("dmarc", "m2", None)), *[(f"contains(_t_dns_txt, 'p={p}')", _gain("dmarc", points, f"'p={p}'")) for p, points in (("reject", "i5 e4 l2"), ("quarantine", "s3 i3"), ("none", "s2 m1"))]]),
         *each("martech"),
-        _by_number("subdomains", number("ctl_subdomain_count"), BOUNDS["subdomains"]),
-        _by_number("tech_count", count("http_tech"), BOUNDS["tech_count"]),
-        _by_number("app_count", count("http_apps"), BOUNDS["app_count"]),
+        _by_number("subdomains", "_n_ctl_subdomain_count", BOUNDS["subdomains"]),
+        _by_number("tech_count", "_c_http_tech", BOUNDS["tech_count"]),
+        _by_number("app_count", "_c_http_apps", BOUNDS["app_count"]),
         first(("cdn", "http_tech")),
         first(("cms", "http_tech")),
         *each("pages"),
-        _by_number("domain_age", as_of_year - year, BOUNDS["domain_age"]),
-        _chain([(org == "", F.expr(_NONE)), (_any(org, SHARED_HOSTS), _gain("hosting", "m6 s2", F.concat(F.lit("shared:"), short_org))), (~_any(org, HOSTERS) & (filled(c("bgp_asn_number")) != ""), _gain("hosting", "e6 l3", F.concat(F.lit("own_asn:"), short_org)))]),
+        _by_number("domain_age", "_age", BOUNDS["domain_age"]),
+        _chain([("_t_bgp_asn_org = ''", _NONE), (_any("_t_bgp_asn_org", SHARED_HOSTS), _gain("hosting", "m6 s2", f"concat('shared:', {short_org})")), (f"not {_any('_t_bgp_asn_org', HOSTERS)} and _t_asn <> ''", _gain("hosting", "e6 l3", f"concat('own_asn:', {short_org})"))]),
         *each("txt"),
         *each("tools"),
-        _chain([(infra >= 8, _gain("subnames", "e8 l4", F.concat(infra.cast("string"), F.lit("_infra")))), (infra >= 4, _gain("subnames", "i5 e3", F.concat(infra.cast("string"), F.lit("_infra")))), (among(ENV_NAMES) & among(API_NAMES), _gain("subnames", "i4 s2", "env+api")), (among(ENV_NAMES) | among(API_NAMES) | among(DOC_NAMES), _gain("subnames", "s3 i2", "dev_env"))]),
+        _chain([("_infra >= 8", _gain("subnames", "e8 l4", infra)), ("_infra >= 4", _gain("subnames", "i5 e3", infra)), (f"{among(ENV_NAMES)} and {among(API_NAMES)}", _gain("subnames", "i4 s2", "'env+api'")), (" or ".join(map(among, (ENV_NAMES, API_NAMES, DOC_NAMES))), _gain("subnames", "s3 i2", "'dev_env'"))]),
         first(("ns", "rdap_nameservers")),
-        _by_number("dns_lb", records, BOUNDS["dns_lb"]),
-        _chain([(schema == "", F.expr(_NONE)), (F.contains(schema, F.lit("organization")), _gain("schema", "i3 e2", "Organization")), (F.contains(schema, F.lit("product")), _gain("schema", "s2 i1", "Product")), (F.lit(True), _gain("schema", "s1", schema))]),
-        F.when(filled(c("http_og_type")) != "", _gain("og", "s1", None)),
-        F.when(_any(headline, ["enterprise", "fortune 500"]), _gain("title", "e4 i2", "enterprise_lang")),
-        F.when(F.contains(headline, F.lit("platform")) & _any(headline, ["leading", "global"]), _gain("title", "i3 e2", "platform_leader")),
-        F.when(_any(headline, ["free website", "my blog", "personal site"]), _gain("title", "m4 s1", "personal")),
-        _by_number("emails", count("http_emails"), BOUNDS["emails"]),
-        _chain([(filled(c("industry")) == name, _gain("industry", points, evidence)) for name, points, evidence in map(_parts, INDUSTRY_PRIOR.split(";"))]),
+        _by_number("dns_lb", "(_c_dns_a + _c_dns_aaaa)", BOUNDS["dns_lb"]),
+        _chain([("_t_http_schema_type = ''", _NONE), ("contains(_t_http_schema_type, 'organization')", _gain("schema", "i3 e2", "'Organization'")), ("contains(_t_http_schema_type, 'product')", _gain("schema", "s2 i1", "'Product'")), ("true", _gain("schema", "s1", "_t_http_schema_type"))]),
+        _chain([("_t_og <> ''", _gain("og", "s1", None))]),
+        _chain([(headline("enterprise", "fortune 500"), _gain("title", "e4 i2", "'enterprise_lang'"))]),
+        _chain([(f"({headline('platform')}) and ({headline('leading', 'global')})", _gain("title", "i3 e2", "'platform_leader'"))]),
+        _chain([(headline("free website", "my blog", "personal site"), _gain("title", "m4 s1", "'personal'"))]),
+        _by_number("emails", "_c_http_emails", BOUNDS["emails"]),
+        _chain([(f"_t_industry = {_quote(name)}", _gain("industry", points, _quote(evidence))) for name, points, evidence in map(_parts, INDUSTRY_PRIOR.split(";"))]),
     ]
 
 
@@ -264,7 +274,8 @@ def estimate(sites: DataFrame, as_of_year: int | None = None) -> DataFrame:
     have = set(sites.columns)
     column = lambda name: F.col(name) if name in have else F.lit("")
     year = F.year(F.current_date()) if as_of_year is None else F.lit(as_of_year)
-    gained = sites.withColumn("_g", F.array_compact(F.array(*signals(column, year))))
+    ready = prepared(column, year)
+    gained = sites.withColumns(ready).withColumn("_g", F.expr(f"array_compact(array({', '.join(signals())}))"))
     scored = gained.withColumns({f"_{k}": _sum("_g", k) for k in LETTERS} | {"_ev": F.array_compact(F.transform("_g", lambda x: x["evidence"]))})
     top = scored.withColumn("_top", softmax_top([F.col(f"_{k}").cast("double") for k in LETTERS]))
     conf = F.least(F.round(F.col("_top.share") * 0.7 + F.least(F.size("_ev") / 10.0, F.lit(1.0)) * 0.3, 2), F.lit(0.99))
@@ -280,4 +291,4 @@ def estimate(sites: DataFrame, as_of_year: int | None = None) -> DataFrame:
             "revenue_evidence": F.when(F.col("_ok"), F.array_join("_ev", "|")).otherwise(""),
         }
     )
-    return out.drop("_g", "_ev", "_top", "_conf", "_ok", *[f"_{k}" for k in LETTERS])
+    return out.drop("_g", "_ev", "_top", "_conf", "_ok", *[f"_{k}" for k in LETTERS], *ready)
