@@ -322,3 +322,57 @@ add(
     """SELECT vec_id, label AS best_label FROM (SELECT e.vec_id, c.label, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_dot_product(CAST(e.embedding AS DOUBLE[]), c.v) DESC, c.label) AS n FROM embeddings e, (
     SELECT label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)) c) WHERE n = 1""",
 )
+
+# --- labels -----------------------------------------------------------------------------------
+from ..functions import language  # noqa: E402
+from ..operators import grades, queue  # noqa: E402
+
+_LANGS = sorted(language.FUNCTION_WORDS)
+_LISTS = ", ".join("[" + ", ".join(f"'{w}'" for w in language.FUNCTION_WORDS[k]) + "]" for k in _LANGS)
+add(
+    "language_by_words",
+    lambda s, d: table(s, d, "documents").select("doc_id", language.by_words("text").alias("found")),
+    f"""SELECT doc_id, CASE WHEN length(t) >= {language.LEAST} AND best > 0 AND best >= len(w) * 0.08 THEN {_LANGS}[list_position(c, best)] END AS found FROM (SELECT *, list_max(c) AS best FROM (
+    SELECT doc_id, t, w, list_transform([{_LISTS}], lambda l: len(list_filter(w, lambda x: list_contains(l, x)))) AS c FROM (
+    SELECT doc_id, lower(text) AS t, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') AS w FROM documents)))""",
+)
+_AS_OF = "2002-01-01"
+_DAYS = f"date_diff('day', CAST(o_orderdate AS DATE), DATE '{_AS_OF}')"
+add(
+    "domain_ages",
+    lambda s, d: table(s, d, "orders").select("o_orderkey", grades.age_short("o_orderdate", F.lit(_AS_OF).cast("date")).alias("short"), grades.age_long("o_orderdate", F.lit(_AS_OF).cast("date")).alias("long")),
+    f"""SELECT o_orderkey, CASE WHEN n < 30 THEN n || 'd' WHEN n < 365 THEN (n // 30) || 'm' ELSE (n // 365) || 'y' END AS short,
+    CASE WHEN n < 30 THEN n || ' days' WHEN n < 365 THEN (n // 30) || ' months' WHEN n % 365 // 30 > 0 THEN (n // 365) || 'y ' || (n % 365 // 30) || 'm' ELSE (n // 365) || ' years' END AS long FROM (SELECT o_orderkey, {_DAYS} AS n FROM orders)""",
+)
+add(
+    "freshness_labels",
+    lambda s, d: event_log(s, d).where(F.col("enriched_at") <= _at(LOG_NOW)).select(grades.freshness("enriched_at", _at(LOG_NOW)).alias("label")).groupBy("label").agg(F.count("*").alias("n")),
+    f"SELECT CASE WHEN h <= 24 THEN '24h' WHEN h <= 168 THEN '7d' WHEN h <= 720 THEN '30d' END AS label, count(*) AS n FROM (SELECT (epoch(TIMESTAMP '{LOG_NOW}') - floor(epoch(enriched_at))) / 3600.0 AS h FROM log WHERE enriched_at <= TIMESTAMP '{LOG_NOW}') GROUP BY 1",
+    EVENT_LOG,
+)
+
+
+def _graded(spark, sf):
+    """Orders with registration, mail and hosting columns made from their keys."""
+    return wide(spark, sf).withColumns(
+        {
+            "dns_mx": F.when(F.col("tranco_rank") % 3 == 0, "10:aspmx.l.google.com").when(F.col("tranco_rank") % 3 == 1, "10:mail.ovh.net").otherwise(""),
+            "rdap_domain_created_at": F.col("enriched_at").cast("string"), "ctl_subdomain_count": F.col("http_response_time"), "ctl_issuer": F.lit("R3"),
+        }
+    )
+
+
+add(
+    "section_badges",
+    lambda s, d: _graded(s, d).select(grades.badges().alias("b")).select("b.*").groupBy("tech", "app", "dns", "network", "domain", "ssl", "rankings").agg(F.count("*").alias("n")),
+    """SELECT CASE WHEN t >= 8 THEN 'gold' WHEN t >= 4 THEN 'silver' WHEN t >= 1 THEN 'bronze' END AS tech, CASE WHEN a >= 5 THEN 'gold' WHEN a >= 2 THEN 'silver' WHEN a >= 1 THEN 'bronze' END AS app,
+    CASE WHEN tranco_rank % 3 = 0 THEN 'gold' WHEN tranco_rank % 3 = 1 THEN 'silver' END AS dns, 'bronze' AS network, 'silver' AS domain,
+    CASE WHEN http_response_time >= 20 THEN 'gold' WHEN http_response_time >= 5 THEN 'silver' ELSE 'bronze' END AS ssl,
+    CASE WHEN r <= 100000 THEN 'gold' WHEN r <= 500000 THEN 'silver' WHEN r <= 2000000 THEN 'bronze' END AS rankings, count(*) AS n
+    FROM (SELECT *, len(list_filter(string_split(http_tech, '|'), lambda x: x <> '')) AS t, len(list_filter(string_split(http_apps, '|'), lambda x: x <> '')) AS a, least(coalesce(tranco_rank, 999999999), coalesce(majestic_rank, 999999999)) AS r FROM wide) GROUP BY ALL""",
+    WIDE,
+)
+add(
+    "queue_accounting",
+    lambda s, d: queue.replay(table(s, d, "events").select(F.pmod("user_id", F.lit(16)).alias("queue"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), F.when(F.col("event_type") == "purchase", "dequeue").when(F.col("event_type") == "error", "fail").otherwise("enqueue").alias("call"), F.col("event_id").alias("id"), F.lit(4).alias("n")).withColumn("t", F.col("us") / 1e6), 50, 3600.0, 86_400.0),
+)
