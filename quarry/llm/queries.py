@@ -99,6 +99,42 @@ b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
 """
 
+#: Every 100-byte string's first start, the later ones' union, and what is left.
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS s FROM d)),
+r AS (SELECT doc_id, s FROM k QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, s) > 1),
+i AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS n FROM r),
+g AS (SELECT doc_id, s, sum(n) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM i),
+x AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM g GROUP BY doc_id, g),
+p AS (SELECT doc_id, b AS lo, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS hi FROM x UNION ALL SELECT doc_id, 0, min(a) FROM x GROUP BY doc_id),
+c AS (SELECT p.doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, length(h) // 2) - lo)), '' ORDER BY lo) AS kept FROM p JOIN d USING (doc_id) GROUP BY p.doc_id),
+n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM x GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+def secret_spans_sql() -> str:
+    """Spans from the pieces between matches, as in secret_scan, for every rule."""
+    kinds = []
+    for order, rule in enumerate(secret_scan.RULES):
+        pattern = (rule.scan or rule.pattern).replace("'", "''")
+        kinds.append(
+            f"SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS a, length(m[i]) AS n, length(v[i]) AS p "
+            f"FROM (SELECT doc_id, g, m, v, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS v FROM d)) WHERE p >= {rule.least}"
+        )
+    base = max(i for i, r in enumerate(secret_scan.RULES) if r.base)
+    joined = "string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o)"
+    counts = ", ".join(f"count(*) FILTER (o = {i})::BIGINT AS n_{r.kind}" for i, r in enumerate(secret_scan.RULES) if r.base)
+    names = ", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secret_scan.BASE_RULES)
+    return (
+        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({' UNION ALL '.join(kinds)}), "
+        f"a AS (SELECT doc_id, {counts}, {joined} FILTER (o <= {base}) AS base, {joined} AS spans FROM s GROUP BY doc_id) "
+        f"SELECT d.doc_id, {names}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"
+    )
+
+
 OP9_SQL = """
 WITH w(source, weight) AS (VALUES {weights}),
 s AS (SELECT w.source, sum(length(text))::DOUBLE AS mass FROM documents LEFT JOIN w USING (source) GROUP BY w.source),
@@ -116,4 +152,4 @@ FROM (SELECT *, unnest(range(1, mix_copies + 1)) AS mix_copy FROM n)
 
 def oracle_sql() -> dict[str, str]:
     weights = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in MIX_WEIGHTS.items())
-    return {"op1_quality_rules": OP1_SQL, "op9_poisson_mixing": OP9_SQL.format(weights=weights, rest=max(0.0, 1.0 - sum(MIX_WEIGHTS.values())))}
+    return {"op1_quality_rules": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op7_secret_scan": secret_spans_sql(), "op9_poisson_mixing": OP9_SQL.format(weights=weights, rest=max(0.0, 1.0 - sum(MIX_WEIGHTS.values())))}
