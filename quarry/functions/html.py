@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,14 +95,18 @@ EMAIL_REJECT = ["noreply", "no-reply", "donotreply", "@example\\.", "@sentry\\."
 
 
 def emails(html: str | Column, most: int = 10) -> Column:
-    """Addresses in a page, plain or hidden in the usual ways; lower case, first occurrences, at most ``most``."""
+    """Addresses in a page, plain or hidden in the usual ways; lower case, first occurrences, at most ``most``.
+
+    An expression runs only on pages that hold the text it cannot match without.
+    """
     page = filled(html)
+    gate = lambda markers, found: F.when(reduce(lambda a, b: a | b, [F.contains(page, F.lit(m)) for m in markers]), found).otherwise(F.expr("cast(array() as array<string>)"))
     plain = F.regexp_extract_all(page, F.lit("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,24}"), 0)
     mailto = F.transform(F.regexp_extract_all(page, F.lit("(?i)mailto:([^\"'?>\\s]+)"), 1), lambda x: F.replace(x, F.lit("%40"), F.lit("@")))
     marked = F.transform(F.regexp_extract_all(page, F.lit("[A-Za-z0-9._%+-]+ ?[\\[({] ?(?:@|[Aa][Tt]) ?[\\])}] ?[A-Za-z0-9.-]+\\.[A-Za-z]{2,24}"), 0), lambda x: F.regexp_replace(x, " ?[\\[({] ?(@|[Aa][Tt]) ?[\\])}] ?", "@"))
     spelt = F.transform(F.regexp_extract_all(page, F.lit("[A-Za-z0-9._%+-]+ AT [A-Za-z0-9-]+ DOT [A-Za-z]{2,24}"), 0), lambda x: F.replace(F.replace(x, F.lit(" AT "), F.lit("@")), F.lit(" DOT "), F.lit(".")))
     coded = F.transform(F.regexp_extract_all(page, F.lit("[A-Za-z0-9._%+-]+&#(?:64|x40);[A-Za-z0-9.-]+\\.[A-Za-z]{2,24}"), 0), lambda x: F.regexp_replace(x, "&#(64|x40);", "@"))
     hidden = F.transform(F.regexp_extract_all(page, F.lit("data-cfemail=[\"']([0-9a-fA-F]+)[\"']"), 1), unhide_email)
-    every = F.array_distinct(F.transform(F.array_compact(F.concat(hidden, mailto, plain, marked, spelt, coded)), lambda x: F.lower(F.trim(x))))
+    every = F.array_distinct(F.transform(F.array_compact(F.concat(gate(["data-cfemail"], hidden), F.when(F.contains(F.lower(page), F.lit("mailto:")), mailto).otherwise(F.expr("cast(array() as array<string>)")), gate(["@"], plain), gate(["[", "(", "{"], gate(["@", "at", "AT", "At", "aT"], marked)), gate([" AT "], spelt), gate(["&#"], coded))), lambda x: F.lower(F.trim(x))))
     good = F.filter(every, lambda x: x.rlike("^[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,24}$") & ~x.rlike("|".join(EMAIL_REJECT)))
     return F.slice(good, 1, most)
