@@ -25,12 +25,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one of the least id."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    out = docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if twice else out
+    """One document of each group of linked fingerprints: the one of the least id, known ids before null.
+
+    Rows are told apart by id and text, so rows with a null or a repeated id go
+    only where their texts are near duplicates.
+    """
+    keyed = docs.select(*COLUMNS, F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
+    prints = materialize(simhash.fingerprints(keyed, keep=("text_key",)), "prints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "n")).alias("k")
+    first = prints.groupBy("fp", "doc_id", "text_key").agg(F.count("*").alias("n")).groupBy("fp").agg(least)
+    found = first.join(simhash.groups(prints), "fp").groupBy("component_fp").agg(F.min("k").alias("k"))
+    kept = materialize(found.select("k.doc_id", "k.text_key", "k.n"), "kept")
+    same = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed["text_key"] == kept["text_key"])
+    out = keyed.join(kept.hint("shuffle_hash"), same, "left_semi")
+    # several rows of one id and text
+    out = out if kept.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text_key"])
+    return out.select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

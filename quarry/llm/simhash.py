@@ -51,17 +51,18 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, size: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint's 64 bits as a signed long) of every row, and the columns in ``keep``."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(1))
             found = np.fromiter((fingerprint(x or b"", size) for x in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep).mapInArrow(run, f"doc_id long, fp long{kept}")
 
 
 class Forest:
@@ -205,16 +206,28 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def groups(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """``fp, id, component_fp`` for every distinct fingerprint of ``prints (doc_id, fp)``: its least id and its group's least fingerprint.
+
+    Fingerprints themselves are linked, whatever ids carry them: an id that comes
+    with several texts joins no groups, and null ids keep none apart.
+    """
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
+    reach = components(links(distinct.select("fp", F.col("fp").alias("node")), radius)).withColumnRenamed("node", "fp")
+    return distinct.join(reach, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component_fp"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``.
 
     Texts without a word (null, empty, white space) have the fingerprint zero
-    and are linked like any other.  A null ``doc_id`` keeps its fingerprint and
-    gets its group's component, or null where no id of the group is known.
+    and are linked like any other.  ``component_id`` is the least id of the
+    row's group, or null where no id of the group is known.
     Repeated rows come back as often as they came; an empty table gives none.
     """
     prints = materialize(fingerprints(docs, size), "prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    reach = components(links(distinct.where("node is not null"), radius))
-    named = distinct.join(reach, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    found = groups(prints, radius)
+    # a table of its own, so that the join on it can divide a large group
+    least = materialize(found.groupBy("component_fp").agg(F.min("id").alias("component_id")), "least")
+    named = found.join(least, "component_fp").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")

@@ -38,6 +38,18 @@ def test_repeated_rows_leave_one(spark):
     assert sorted((r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str) == [1, None]
 
 
+def test_null_and_repeated_ids_go_only_with_near_duplicates(spark):
+    # eleven texts of which no two are alike
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(11)]
+    rows = [(None, ""), *((None, t) for t in texts[:6]), (None, texts[0]), (7, texts[6]), (7, texts[7]), (8, texts[7]), (9, texts[8]), (9, texts[9]), (10, texts[9]), (10, texts[8]), (11, texts[5]), (12, texts[10]), (12, texts[10])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert Counter(t for _, t in kept) == Counter(["", *texts])
+    assert Counter(kept) == Counter([(None, ""), *((None, t) for t in texts[:5]), (11, texts[5]), (7, texts[6]), (7, texts[7]), (9, texts[8]), (9, texts[9]), (12, texts[10])])
+    component = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame([(1, texts[0]), (5, texts[0]), (5, texts[1]), (6, texts[1])], "doc_id long, text string")).where("doc_id <> 5").collect()}
+    assert component == {1: 1, 6: 5}
+
+
 def test_driver_contract():
     import __spark_entry__ as entry
 
