@@ -30,6 +30,8 @@ class Rule:
     ``group`` of a match must have ``least`` characters, or the match is dropped
     (after it has taken its place: matches are leftmost and do not overlap).
     ``scan`` may give an equal expression that is cheaper where every text is read.
+    ``whole`` may give an expression that runs on from each match to the secret's
+    end, where ``pattern`` only finds its beginning; both match at the same places.
     """
 
     kind: str
@@ -38,7 +40,22 @@ class Rule:
     least: int = 0
     base: bool = False
     scan: str = ""
-
+    whole: str = ""
+
+
+_KEY_HEADER = "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+#: White space (also escaped) and what quotes or joins the lines of a key.
+_KEY_GAP = "(?:\\s|\\\\++[nrt]|[>#*\"',|])*+"
+#: A private key from its header to the END line, whatever stands between but another
+#: BEGIN or END; without one, over the header's fields and the base64 lines that follow:
+#: runs of 24 characters or more with a shorter one after them, and lines of nothing else.
+#: Possessive, so that nothing recurses or is read twice.
+_KEY_WHOLE = (
+    _KEY_HEADER + "(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    f"|(?:{_KEY_GAP}(?:Proc-Type|DEK-Info|Comment): (?:[^\\r\\n\\\\-]|-(?!----))*+)*+"
+    f"(?:{_KEY_GAP}[A-Za-z0-9+/=]{{24,}}+(?:[ \\t]++[A-Za-z0-9+/=]{{1,23}}+(?![A-Za-z0-9+/=]))?+"
+    f"|[ \\t\"',]*+(?:[\\r\\n]|\\\\++[nr]){_KEY_GAP}[A-Za-z0-9+/=]++(?=[ \\t\"',]*+(?:[\\r\\n\\\\]|\\z)))*+)"
+)
 
 #: The base kinds, in their order.
 BASE_RULES = (
@@ -48,7 +65,7 @@ BASE_RULES = (
 )
 #: Kinds beyond the base.
 MORE_RULES = (
-    Rule("private_key", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    Rule("private_key", _KEY_HEADER, whole=_KEY_WHOLE),
     Rule("github", "gh[pousr]_[A-Za-z0-9]{30,}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
@@ -147,13 +164,13 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
-def _spans(rule: Rule, order: int) -> Column:
-    """The rule's spans in ``_t``: array of (start, place in the rules, end), in code points.
+def _spans(rule: Rule, order: int, pattern: str) -> Column:
+    """The rule's spans in ``_t`` by ``pattern``: array of (start, place in the rules, end), in code points.
 
     The pieces between matches and the matches themselves alternate, so their
     lengths add up to positions.
     """
-    pattern = (rule.scan or rule.pattern).replace("\\", "\\\\").replace("'", "\\'")
+    pattern = pattern.replace("\\", "\\\\").replace("'", "\\'")
     plain = "cast(array() as array<int>)" if not rule.group else f"transform(regexp_extract_all(_t, '{pattern}', {rule.group}), x -> length(x))"
     whole = f"transform(regexp_extract_all(_t, '{pattern}', 0), x -> length(x))"
     gaps = f"transform(split(_t, '{pattern}', -1), x -> length(x))"
@@ -173,6 +190,9 @@ def _listed(spans: str, kinds: str) -> str:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``secrets`` (array of start, kind, end by start then kind) and the columns in ``keep``; a row for each row.
 
+    ``secrets`` reach to each secret's end; :func:`digest` lists the matches of
+    the rules' patterns, as its SQL does.
+
     Null and empty texts have no secret.  A null ``doc_id`` has no posting to
     look up, so its text is verified against all rules.  Rows that repeat an id
     share their candidates, which verification then decides text by text.
@@ -185,10 +205,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...]
     parts = []
     for i, r in enumerate(rules):
         gate = F.col("_r").bitwiseAND(F.lit(1 << i)) != 0 if indexed >> i & 1 else F.lit(True)
-        parts.append(F.when(gate & F.col("_t").rlike(r.scan or r.pattern), _spans(r, i)).otherwise(F.expr(empty)))
+        parts.append(F.when(gate & F.col("_t").rlike(r.scan or r.pattern), _spans(r, i, r.scan or r.pattern)).otherwise(F.expr(empty)))
     kinds = "array(" + ", ".join(f"'{r.kind}'" for r in rules) + ")"
-    return rows.withColumn("_s", F.array_sort(F.concat(*parts))).select(
-        "doc_id", *keep, F.expr(f"transform(_s, x -> named_struct('start', cast(x.start as long), 'kind', {kinds}[x.kind], 'end', cast(x.end as long)))").alias("secrets"), F.col("_s"), F.col("_t").alias("text")
+    rows = rows.withColumn("_s", F.array_sort(F.concat(*parts)))
+    whole = [F.when(F.expr(f"exists(_s, x -> x.kind = {i})"), _spans(r, i, r.whole)).otherwise(F.expr(empty)) for i, r in enumerate(rules) if r.whole]
+    short = ", ".join(["-1", *(str(i) for i, r in enumerate(rules) if r.whole)])
+    rows = rows.withColumn("_e", F.array_sort(F.concat(F.expr(f"filter(_s, x -> x.kind not in ({short}))"), *whole)) if whole else F.col("_s"))
+    return rows.select(
+        "doc_id", *keep, F.expr(f"transform(_e, x -> named_struct('start', cast(x.start as long), 'kind', {kinds}[x.kind], 'end', cast(x.end as long)))").alias("secrets"), F.col("_s"), F.col("_t").alias("text")
     )
 
 
