@@ -96,7 +96,9 @@ class Scanner:
         """(start, end, label, edits) in characters of the normalised line.
 
         Every occurrence of every seed opens a window that holds the whole
-        notice with its edits; windows that overlap are verified as one.
+        notice with its edits; windows that overlap are verified as one.  The best
+        match of a window is taken first, then what is before and behind it is
+        searched in the same way, so no occurrence hides another.
         """
         found = []
         for notice, pieces, verify in zip(self.notices, self.seeds, self.verify):
@@ -109,6 +111,7 @@ class Scanner:
             if not windows:
                 continue
             windows.sort()
+            texts = [piece.decode() for _, piece in pieces]
             merged = [list(windows[0])]
             for a, b in windows[1:]:
                 if a <= merged[-1][1]:
@@ -118,10 +121,15 @@ class Scanner:
             for a, b in merged:
                 while a and line[a] & 0xC0 == 0x80:  # to a character's first byte
                     a -= 1
-                window, before = line[a:b].decode(errors="ignore"), None
-                for m in verify.finditer(window):
-                    before = len(line[:a].decode()) if before is None else before
-                    found.append((before + m.start(), before + m.end(), notice.label, sum(m.fuzzy_counts)))
+                window, matches = line[a:b].decode(errors="ignore"), []
+                parts = [(0, len(window))]
+                while parts:
+                    start, end = parts.pop()
+                    if any(window.find(piece, start, end) >= 0 for piece in texts) and (m := verify.search(window, start, end)):
+                        matches.append((m.start(), m.end(), notice.label, sum(m.fuzzy_counts)))
+                        parts += (start, m.start()), (m.end(), end)
+                before = len(line[:a].decode()) if matches else 0
+                found.extend((before + x, before + y, *rest) for x, y, *rest in sorted(matches))
         return found
 
 

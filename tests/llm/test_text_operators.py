@@ -153,6 +153,15 @@ def test_fuzzy_notice_is_found_with_its_edits():
     assert not scanner.fuzzy(b" nothing of the sort here ")
 
 
+def test_no_notice_hides_a_neighbour():
+    scanner = license_scan.Scanner()
+    for parts in (["relased under the mit license", "released under the mit license", "relesed under the mit license"], ["relesed undr the mit license", "relased under the mit license"] * 3):
+        line = " " + " xé ".join(parts) + " "
+        spans = [x for x in scanner.fuzzy(line.encode()) if line[x[0] : x[1]].startswith("rel")]
+        assert [line[a:b] for a, b, _, _ in spans] == parts
+        assert [e for *_, e in spans] == [len("released under the mit license") - len(p) for p in parts]
+
+
 def test_seeds_cover_a_notice():
     for n in license_scan.NOTICES:
         assert "".join(p for _, p in license_scan.seeds(n)) == n.text and len(license_scan.seeds(n)) == n.edits + 1
