@@ -36,9 +36,16 @@ def merge_values(first: str | Column, second: str | Column) -> Column:
     return F.concat(first, F.filter(second, lambda x: ~F.array_contains(F.transform(first, F.lower), F.lower(x))))
 
 
+def valid_part(c: str | Column) -> Column:
+    """A string up to its first invalid byte; a valid one is left as it is."""
+    text = filled(c)
+    mended = F.make_valid_utf8(text)
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.substring_index(mended, "\ufffd", 1))
+
+
 def repair(c: str | Column, most: int = 2000) -> Column:
-    """A string fit for a tab-separated row: no backslash or control character, tabs and line feeds as spaces, cut at ``most``."""
-    text = F.regexp_replace(F.translate(filled(c), "\t\n", "  "), "[\\\\\\x00-\\x08\\x0b-\\x1f\\x7f]", "")
+    """A string fit for a tab-separated row: cut at invalid bytes, no backslash or control character, tabs and line feeds as spaces, cut at ``most``."""
+    text = F.regexp_replace(F.translate(valid_part(c), "\t\n", "  "), "[\\\\\\x00-\\x08\\x0b-\\x1f\\x7f]", "")
     return F.left(text, F.lit(most))
 
 
