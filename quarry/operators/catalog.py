@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.domains import country
+from ..functions.domains import country, lookup_name
 from ..functions.text import filled, slug, values
 from ..schema import DETAIL_COLUMNS, LIST_COLUMNS
 from .predicates import explorer_filter, holds, page, stale
@@ -147,6 +149,65 @@ def landing(rows: DataFrame, tech: str = PLATFORM, exact: bool = True) -> DataFr
     return totals.crossJoin(parts("http_tech")).crossJoin(parts("http_apps"))  # one row each
 
 
+def _block(name: str, rows: DataFrame, label: str, number: str | None = "cnt") -> DataFrame:
+    """Rows of an answer of several blocks: ``block, label, number``."""
+    return rows.select(F.lit(name).alias("block"), F.col(label).cast("string").alias("label"), (F.col(number) if number else F.lit(None)).cast("double").alias("number"))
+
+
+def tech_page(rows: DataFrame, slug_text: str, n: int = 100) -> DataFrame:
+    """A technology's page: ``block, label, number`` of stores, five distributions, what it occurs with, and its figures.
+
+    Stores are those with the exact name (the slug's words in capitals), or, if
+    there is none, with the slug's words in any case; all else goes by the name.
+    """
+    words = [w for w in slug_text.split("-")]
+    name = " ".join(w[:1].upper() + w[1:].lower() for w in words)
+    stores = sample_stores(rows, name, n, ["domain", "tranco_rank"])
+    if stores.isEmpty():
+        stores = sample_stores(rows, " ".join(words), n, ["domain", "tranco_rank"], True)
+    mine = using(rows, name)
+    figures = tech_stats(rows, name)
+    measures = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("number")) for c in figures.columns])).alias("m")
+    blocks = [
+        _block("stores", stores, "domain", "tranco_rank"),
+        _block("countries", distribution(mine, None, country()), "value"),
+        _block("languages", distribution(mine, None, "http_language"), "value"),
+        _block("hosting", distribution(mine, None, "bgp_asn_org"), "value"),
+        _block("registrars", distribution(mine, None, "rdap_registrar"), "value"),
+        _block("together", co_occurring(rows, name), "tech"),
+        _block("figures", figures.select(measures).select("m.*"), "label", "number"),
+    ]
+    return reduce(DataFrame.unionByName, blocks)
+
+
+def landing_page(rows: DataFrame, log: DataFrame, as_of: Column, tech: str = PLATFORM, exact: bool = True) -> DataFrame:
+    """The landing page: ``block, label, number`` of totals, rates, the newest stores and the most popular ones."""
+    wide_row = landing(rows, tech, exact)
+    totals = wide_row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("cnt")) for c in wide_row.columns])).alias("m")).select("m.*")
+    rates = reduce(DataFrame.unionByName, [rate(log, as_of, seconds).select(F.lit(label).alias("label"), "cnt") for label, seconds in (("last_minute", 60), ("last_hour", 3600))])
+    return reduce(
+        DataFrame.unionByName,
+        [_block("totals", totals, "label"), _block("rates", rates, "label"), _block("recent", recent_stores(rows, tech, 20), "domain", "tranco_rank"), _block("top", sample_stores(rows, tech, 10), "domain", "tranco_rank")],
+    )
+
+
+def lookup(asked: DataFrame, current: DataFrame, as_of: Column, name: str = "asked", days: int = 7) -> DataFrame:
+    """What is typed, met with the current view: ``asked, domain, answer, http_title, http_tech``.
+
+    ``answer`` is ``stored`` where the row is younger than ``days`` (whole days
+    between dates), else ``enrich``: the pipeline has to run.
+    """
+    rows = asked.select(F.col(name).alias("asked"), lookup_name(name).alias("domain"))
+    found = rows.join(current.select("domain", "enriched_at", "http_title", "http_tech"), "domain", "left")
+    fresh = F.coalesce(F.datediff(as_of, F.to_date("enriched_at")) < days, F.lit(False))
+    return found.select("asked", "domain", F.when(fresh, "stored").otherwise("enrich").alias("answer"), *[F.when(fresh, F.col(c)).alias(c) for c in ("http_title", "http_tech")])
+
+
+def newest(rows: DataFrame, n: int, at: str, tie: str) -> DataFrame:
+    """The last ``n`` rows: a list of errors or samples that is kept short."""
+    return rows.orderBy(F.desc(at), F.desc(tie)).limit(n)
+
+
 def sitemap(rows: DataFrame, tech: str = PLATFORM, n: int = 10_000, base: str = "https://example.com", fixed: tuple[str, ...] = ("/", "/top", "/tech", "/compare")) -> DataFrame:
     """Locations: stores, two for each technology, one for each country, and fixed ones."""
     spark = rows.sparkSession

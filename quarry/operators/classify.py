@@ -302,6 +302,25 @@ def centroids(vectors: DataFrame, vector: str = "embedding", label: str = "label
     return means.select(label, lv.alias("_v")).select(label, F.transform("_v", lambda x: x / F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, y: s + y * y))).alias("_lv"))
 
 
+#: Similarities are confidences from LOW on, the whole of it SPAN above; least confidences for a model and an industry.
+LOW, SPAN, LEAST_MODEL, LEAST_INDUSTRY = 0.15, 0.45, 0.40, 0.35
+
+
+def similarity_confidence(similarity: Column) -> Column:
+    """A cosine as a confidence between 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (similarity - LOW) / SPAN))
+
+
+def second_tier(model: Column, model_similarity: Column, industry: Column, industry_similarity: Column) -> Column:
+    """``struct(business_model, industry, confidence, model_confidence, industry_confidence)`` of the best labels by similarity; unsure ones are empty."""
+    a, b = similarity_confidence(model_similarity), similarity_confidence(industry_similarity)
+    half_up = lambda c: F.floor(c * 100 + 0.5) / 100
+    return F.struct(
+        F.when(a >= LEAST_MODEL, model).otherwise("").alias("business_model"), F.when(b >= LEAST_INDUSTRY, industry).otherwise("").alias("industry"),
+        half_up(F.greatest(a, b)).alias("confidence"), half_up(a).alias("model_confidence"), half_up(b).alias("industry_confidence"),
+    )
+
+
 def merge_tiers(rule_label: Column, rule_confidence: Column, model_label: Column, model_confidence: Column, text_bytes: Column) -> Column:
     """The second tier fills a blank, or overrules an unsure first tier where it is sure itself."""
     asked = (rule_confidence < LEAST_CONFIDENCE) & (text_bytes > 20)

@@ -54,37 +54,86 @@ def quota(requests: DataFrame, user: str, at: str, tie: str, limit: Column, seco
     return requests.withColumn("bucket", bucket).withColumn("allowed", F.row_number().over(Window.partitionBy(user, "bucket").orderBy(at, tie)) <= limit)
 
 
-def batches(rows: DataFrame, order: str, size: int, cells: int = 64) -> DataFrame:
+def batches(rows: DataFrame, order: str, size: int, cells: int | None = None) -> DataFrame:
     """``batch_id``: first in, first out, ``size`` rows a batch.
 
-    The place in the order is counted by ranges: rows within a range of the
-    order are numbered in parallel, and only the ranges' counts are added up.
+    The place in the order is counted by ranges of about equal size, whose
+    number grows with the rows: those within a range are numbered in parallel,
+    and only the ranges' counts are added up.
     """
-    bounds = rows.agg(F.min(order), F.max(order)).first()
-    if bounds[0] is None:
+    counted = rows.select(order).agg(F.count("*"), F.count(order)).first()
+    if not counted[1]:
         return rows.withColumn("batch_id", F.lit(None).cast("long"))
-    width = max(1, -(-(int(bounds[1]) - int(bounds[0]) + 1) // cells))
-    cut = rows.withColumn("_cell", F.floor((F.col(order) - F.lit(bounds[0])) / width))
+    cells = cells or max(64, counted[0] // 1_000_000)
+    bounds = rows.agg(F.percentile_approx(order, F.array(*[F.lit(i / cells) for i in range(1, cells)]), F.lit(20 * cells))).first()[0]
+    cell = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b <= F.col(order))) if cells <= 512 else _between(order, sorted(set(bounds)))
+    cut = rows.withColumn("_cell", cell)
     before = cut.groupBy("_cell").agg(F.count("*").alias("n")).withColumn("_before", F.sum("n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
     place = F.row_number().over(Window.partitionBy("_cell").orderBy(order)) + F.coalesce("_before", F.lit(0))
-    return cut.join(F.broadcast(before), "_cell").withColumn("batch_id", F.floor((place - 1) / size).cast("long")).drop("_cell", "_before")
+    return cut.join(F.broadcast(before), "_cell").withColumn("batch_id", F.floor((place - 1) / size).cast("long")).drop("_cell", "_before")  # a row for each range
+
+
+def _between(order: str, bounds: list) -> Column:
+    """How many of many sorted bounds a value reaches: by halving, so that the work is that of the list's depth."""
+    if len(bounds) <= 64:
+        return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order)))
+    mid = len(bounds) // 2
+    return F.when(F.col(order) < F.lit(bounds[mid]), _between(order, bounds[:mid])).otherwise(_between(order, bounds[mid:]) + mid)
+
+
+def evict(state: DataFrame, most: int, batch: int, at: str, key: str) -> DataFrame:
+    """State without its ``batch`` oldest keys once it holds ``most`` or more."""
+    if state.limit(most).count() < most:
+        return state
+    oldest = state.orderBy(at, key).limit(batch).select(key)
+    return state.join(oldest, key, "left_anti")
 
 
 def throttle(requests: DataFrame, key: str, at: str, gap: float) -> DataFrame:
-    """``accepted``: a request passes if ``gap`` seconds have gone since the last that passed; refused ones don't move the clock.
+    """``k, at, accepted, wait_s``: a request passes if ``gap`` seconds have gone since the last that passed; refused ones don't move the clock.
 
     Each decision depends on the one before, so a key's requests are walked in
-    order within its task; only key and time travel there.
+    order within its task.  They come sorted and pass through in batches: a task
+    remembers one time, however many requests a key has.
     """
-    import pandas as pd
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", kind="stable")
-        last, out = float("-inf"), []
-        for t in rows["t"].tolist():
-            out.append(t - last >= gap)
-            last = t if out[-1] else last
-        return rows.assign(accepted=out)
-
-    narrow = requests.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("us")).withColumn("t", F.col("us") / 1e6)
-    return narrow.groupBy("k").applyInPandas(walk, "k string, us long, t double, accepted boolean").select("k", F.timestamp_micros("us").alias("at"), "accepted")
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    step = int(round(gap * 1e6))
+
+    def walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for part in parts:
+            keys, us = part.column(0).to_pylist(), part.column(1).to_numpy()
+            wait = np.zeros(len(us), np.int64)
+            start = 0
+            while start < len(us):
+                end = start + 1
+                while end < len(us) and keys[end] == keys[start]:
+                    end += 1
+                if keys[start] != now or last is None:
+                    now, last = keys[start], None
+                at_ = start
+                while at_ < end:
+                    if last is not None:
+                        free = start + int(np.searchsorted(us[start:end], last + step))
+                        wait[at_:free] = last + step - us[at_:free]
+                        at_ = max(at_, free)
+                    if at_ < end:
+                        last = int(us[at_])
+                        at_ += 1
+                start = end
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(wait)], names=["k", "us", "wait"])
+
+    narrow = requests.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("us")).where("us is not null")
+    walked = narrow.repartition("k").sortWithinPartitions("k", "us").mapInArrow(walk, "k string, us long, wait long")
+    return walked.select("k", F.timestamp_micros("us").alias("at"), (F.col("wait") == 0).alias("accepted"), F.when(F.col("wait") > 0, F.col("wait") / 1e6).alias("wait_s"))
+
+
+def wait_stats(throttled: DataFrame) -> DataFrame:
+    """One row over :func:`throttle`'s: keys, refused requests, and the sum, mean and greatest of what they had to wait."""
+    return throttled.agg(
+        F.count_distinct("k").alias("keys"), F.count("wait_s").alias("waits"), F.coalesce(F.sum("wait_s"), F.lit(0.0)).alias("wait_s"), F.coalesce(F.round(F.avg("wait_s"), 1), F.lit(0.0)).alias("avg_wait_s"), F.coalesce(F.max("wait_s"), F.lit(0.0)).alias("max_wait_s")
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.domains import crawl_gate, infer_country, last_label, strip_www, suffix_match
 from ..functions.text import filled, merge_values, repair, values
+from ..rules.lists import HIGH_VALUE_TLDS, REGISTRIES, SHARED_HOSTS
 from ..schema import row_schema
 from .classify import classify
 from .detect import dns_tech
@@ -51,14 +52,14 @@ def without(base: DataFrame, other: DataFrame, key: str = "domain") -> DataFrame
     return base.join(other.select(key), key, "left_anti")
 
 
-def registry_domain(domain: str | Column, registries: list[str]) -> Column:
+def registry_domain(domain: str | Column, registries: list[str] = REGISTRIES) -> Column:
     """A suffix run as a registry: listed, or a name of two bytes at most below a suffix."""
     name = strip_www(domain)
     labels = F.split(name, "\\.")
     return name.isin(registries) | ((F.size(labels) == 2) & (F.octet_length(labels[0]) <= 2))
 
 
-def candidates(dns: DataFrame, seen: DataFrame | None = None, blocked: DataFrame | None = None, registries: list[str] = (), gate: list[str] | None = None) -> DataFrame:
+def candidates(dns: DataFrame, seen: DataFrame | None = None, blocked: DataFrame | None = None, registries: list[str] = REGISTRIES, gate: list[str] | None = HIGH_VALUE_TLDS) -> DataFrame:
     """Domains worth a request: with an address, not seen lately, not blocked, no registry, and through the gate if one is given."""
     rows = dns.where(filled("dns_a") != "").where(~registry_domain("domain", list(registries)))
     if gate is not None:
@@ -68,7 +69,31 @@ def candidates(dns: DataFrame, seen: DataFrame | None = None, blocked: DataFrame
     return rows
 
 
-def on_shared_host(domain: str | Column, platforms: list[str], strict: bool = False) -> Column:
+def candidate_flags(dns: DataFrame, http_seen: DataFrame, rdap_seen: DataFrame, blocked: DataFrame, registries: list[str] = REGISTRIES, gate: list[str] = HIGH_VALUE_TLDS) -> DataFrame:
+    """Which requests each domain is a candidate for, in one pass: ``for_network``, ``for_http``, ``for_registration``.
+
+    The sides hold distinct ``domain`` values; the three share the key, so each is shuffled once.
+    """
+    marked = reduce(lambda rows, side: rows.join(side[0].select("domain").distinct().withColumn(side[1], F.lit(True)), "domain", "left"), ((http_seen, "_h"), (rdap_seen, "_r"), (blocked, "_b")), dns)
+    none = lambda name: F.col(name).isNull()
+    address = filled("dns_a") != ""
+    open_ = address & none("_b") & ~registry_domain("domain", registries)
+    return marked.withColumns({"for_network": address, "for_http": open_ & none("_h") & crawl_gate("domain", "dns_mx", "dns_txt", gate), "for_registration": open_ & none("_r")}).drop("_h", "_r", "_b")
+
+
+def registration_server(domains: DataFrame, servers: DataFrame, domain: str = "domain") -> DataFrame:
+    """``server``: the registration server of the domain's last label; ``servers`` has ``tld, url``, a row for a label."""
+    return domains.withColumn("_tld", F.lower(last_label(domain))).join(sized(servers.select(F.col("tld").alias("_tld"), F.col("url").alias("server"))), "_tld", "left").drop("_tld")
+
+
+def merge_cached(asked: DataFrame, cached: DataFrame, fetched: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Answers to all that was asked: a cached one, else a fetched one, else nulls."""
+    first = cached.select(key, F.struct(*columns).alias("_c"))
+    second = fetched.select(key, F.struct(*columns).alias("_f"))
+    return asked.join(first, key, "left").join(second, key, "left").withColumn("_a", F.coalesce("_c", "_f")).select(*asked.columns, *[F.col(f"_a.{c}").alias(c) for c in columns])
+
+
+def on_shared_host(domain: str | Column, platforms: list[str] = SHARED_HOSTS, strict: bool = False) -> Column:
     return suffix_match(domain, platforms, strict)
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import col, filled, has_value, values
+from ..functions.text import col, filled, has_value, humanize, values
 
 
 def _table(text: str) -> list[tuple[list[str], str]]:
@@ -183,15 +183,44 @@ def health(ratio: Column) -> Column:
 
 
 def route(slug: str | Column) -> Column:
-    """``struct(kind, tech, country)`` of a slug of the top lists or of a comparison ``a-vs-b``."""
-    text = F.lower(col(slug))
-    both = lambda group: F.regexp_extract(text, "^shopify-stores-using-(.+)-in-([a-z]{2})$", group)
-    using, place, versus = F.regexp_extract(text, "^shopify-stores-using-(.+)$", 1), F.regexp_extract(text, "^shopify-stores-(?:in-)?([a-z]{2})$", 1), F.regexp_extract(text, "^(.+)-vs-(.+)$", 1)
+    """``struct(kind, tech, country)`` of a slug of the top lists or of a comparison ``a-vs-b``; null for any other."""
+    text = col(slug)
+    using_in, using_, place, versus = "^shopify-stores-using-(.+)-in-([a-z]{2})$", "^shopify-stores-using-(.+)$", "^shopify-stores-([a-z]{2})$", "^(.+)-vs-(.+)$"
+    part = lambda pattern, group=1: F.regexp_extract(text, pattern, group)
     make = lambda kind, tech, country: F.struct(F.lit(kind).alias("kind"), tech.alias("tech"), country.alias("country"))
     none = F.lit("")
     return (
-        F.when(both(1) != "", make("tech_in_country", both(1), F.upper(both(2))))
-        .when(using != "", make("tech", using, none))
-        .when(place != "", make("country", none, F.upper(place)))
-        .when(versus != "", make("compare", F.concat_ws("|", versus, F.regexp_extract(text, "^(.+)-vs-(.+)$", 2)), none))
+        F.when(text.rlike(using_in), make("tech_in_country", humanize(part(using_in)), F.upper(part(using_in, 2))))
+        .when(text.rlike(using_), make("tech", humanize(part(using_)), none))
+        .when(text.rlike(place), make("country", none, F.upper(part(place))))
+        .when(text.rlike(versus), make("compare", F.concat_ws("|", part(versus), part(versus, 2)), none))
     )
+
+
+# countries' names in addresses of pages and their codes.
+COUNTRY_SLUGS = dict(
+    x.split(":")
+    for x in (
+        "united-states:us united-kingdom:gb canada:ca australia:au germany:de france:fr netherlands:nl sweden:se japan:jp south-korea:kr india:in brazil:br new-zealand:nz ireland:ie singapore:sg "
+        "italy:it spain:es denmark:dk norway:no finland:fi belgium:be switzerland:ch austria:at poland:pl portugal:pt mexico:mx israel:il hong-kong:hk taiwan:tw uae:ae south-africa:za china:cn russia:ru "
+        "turkey:tr czech-republic:cz hungary:hu romania:ro greece:gr ukraine:ua thailand:th vietnam:vn indonesia:id malaysia:my argentina:ar colombia:co chile:cl peru:pe philippines:ph nigeria:ng egypt:eg "
+        "kenya:ke saudi-arabia:sa pakistan:pk bangladesh:bd"
+    ).split()
+)
+# Suffixes of two labels that a slug may end in.
+SLUG_SUFFIXES = "com.sg co.uk com.au co.nz com.br com.hk co.jp co.kr com.my com.ph co.th co.za com.tw com.mx co.in co.il com.sa com.ar com.co com.ng com.pk co.ke com.ua".split()
+
+
+def slug_domain(slug: str | Column) -> Column:
+    """A slug as the domain it stands for: its last word, or a known pair, is the suffix."""
+    words = F.split(col(slug), "-")
+    n = F.size(words)
+    head = lambda less: F.array_join(F.slice(words, F.lit(1), n - less), "-")
+    pair = F.array_join(F.slice(words, -2, 2), ".")
+    return F.when(n < 3, F.array_join(words, ".")).when(pair.isin(SLUG_SUFFIXES), F.concat_ws(".", head(2), pair)).otherwise(F.concat_ws(".", head(1), F.element_at(words, -1)))
+
+
+def store_route(slug: str | Column) -> Column:
+    """Where a store's address leads: a country's list, else null: the page of :func:`slug_domain`."""
+    pairs = [F.lit(x) for kv in COUNTRY_SLUGS.items() for x in kv]
+    return F.concat(F.lit("/top/shopify-stores-"), F.try_element_at(F.create_map(*pairs), col(slug)))

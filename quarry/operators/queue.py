@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import OrderedDict, deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,22 +59,35 @@ def replay(calls: DataFrame, capacity: int = CAPACITY, batch_s: float = BATCH_S,
 
     ``calls``: ``queue, t`` (seconds), ``call`` (enqueue, dequeue, complete,
     fail), ``id`` (item or batch), ``n`` (batch size).  Every call depends on those
-    before, so a queue is replayed in order within one task.
+    before, so a queue is replayed in order (of time, then id) within one task;
+    calls come sorted and pass through in batches, so a task holds what waits in
+    one queue, never its calls.
     """
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        q = Queue(capacity, batch_s, item_s)
-        for r in rows.sort_values("t", kind="stable").itertuples():
-            q.tick(r.t)
-            if r.call == "enqueue":
-                q.enqueue(r.t, r.id)
-            elif r.call == "dequeue":
-                q.dequeue(r.t, r.id, r.n)
-            elif r.call == "complete":
-                q.complete(r.id)
-            elif r.call == "fail":
-                q.fail(r.id)
-        return pd.DataFrame({"queue": [rows["queue"].iloc[0]], "waiting": [len(q.waiting)], "out": [sum(len(x[1]) for x in q.out.values())], "taken": [q.taken], "done": [q.done], "dropped": [q.dropped], "expired": [q.expired], "back": [q.back]})
-
-    narrow = calls.select(F.col("queue").cast("string"), F.col("t").cast("double"), F.col("call").cast("string"), F.col("id").cast("long"), F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n"))
-    return narrow.groupBy("queue").applyInPandas(walk, "queue string, waiting long, out long, taken long, done long, dropped long, expired long, back long")
+    names = ["queue", "waiting", "out", "taken", "done", "dropped", "expired", "back"]
+
+    def result(name: str, q: Queue) -> pa.RecordBatch:
+        numbers = [len(q.waiting), sum(len(x[1]) for x in q.out.values()), q.taken, q.done, q.dropped, q.expired, q.back]
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), *(pa.array([x], pa.int64()) for x in numbers)], names=names)
+
+    def walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, q = None, None
+        for part in parts:
+            for queue, t, call, id_, n in zip(*(part.column(i).to_pylist() for i in range(5))):
+                if q is None or queue != name:
+                    if q is not None:
+                        yield result(name, q)
+                    name, q = queue, Queue(capacity, batch_s, item_s)
+                q.tick(t)
+                if call == "enqueue":
+                    q.enqueue(t, id_)
+                elif call == "dequeue":
+                    q.dequeue(t, id_, n)
+                elif call == "complete":
+                    q.complete(id_)
+                elif call == "fail":
+                    q.fail(id_)
+        if q is not None:
+            yield result(name, q)
+
+    narrow = calls.select(F.col("queue").cast("string"), F.col("t").cast("double"), F.col("call").cast("string"), F.col("id").cast("long"), F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n")).where("t is not null")
+    return narrow.repartition("queue").sortWithinPartitions("queue", "t", "id").mapInArrow(walk, ", ".join([f"{names[0]} string", *(f"{n} long" for n in names[1:])]))
