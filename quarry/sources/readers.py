@@ -40,6 +40,26 @@ def link_ranks(text: DataFrame, line: str = "line") -> DataFrame:
     return rows.groupBy("domain").agg(F.max_by(F.struct("majestic_rank", "majestic_ref_subnets"), line).alias("r")).select("domain", "r.majestic_rank", "r.majestic_ref_subnets")
 
 
+def signatures(text: DataFrame) -> DataFrame:
+    """``pattern, score_type, points, comment`` of rule lines; ``pattern,name`` lines score ``match`` with no points.
+
+    Comments, headers and lines whose points are no number go; patterns are lower case.
+    """
+    parts = F.split("value", ",", 4)
+    at = lambda i: F.trim(F.get(parts, F.lit(i)))
+    points = F.expr("try_cast(regexp_extract(split(value, ',', 4)[2], '^ *([+-]?[0-9]+)', 1) as int)")
+    rows = text.where((F.col("value") != "") & ~F.col("value").startswith("#") & ~F.col("value").rlike("^[a-zA-Z_, ]*score_type[a-zA-Z_, ]*$")).where(F.size(parts).isin(2, 4))
+    whole = F.size(parts) == 4
+    return rows.select(F.lower(at(0)).alias("pattern"), F.when(whole, at(1)).otherwise("match").alias("score_type"), F.when(whole, points).otherwise(0).alias("points"), F.when(whole, at(3)).otherwise(at(1)).alias("comment")).where("points is not null")
+
+
+def users(table: DataFrame, **wanted: object) -> DataFrame:
+    """Accounts whose columns have the wanted values, such as ``email=`` or ``id=``."""
+    for name, value in wanted.items():
+        table = table.where(F.col(name) == F.lit(value))
+    return table
+
+
 #: Kinds of lists, the graver first.
 KINDS = ["malware", "phishing", "disposable"]
 
