@@ -2,20 +2,50 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import time
+import uuid
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators.current import latest, month
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share (``spark.checkpoint.dir``); a local session may leave that unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="quarry-")
+    return f"{path.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+
+
 def files(spark: SparkSession, path: str, schema, per_trigger: int = 64, form: str = "parquet") -> DataFrame:
     """A folder as an unbounded source; ``per_trigger`` bounds what a batch takes in."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).format(form).load(path)
 
 
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives out until it has read all there is now, with the ``batch`` it came in; kept in a folder of its own."""
+    spark = stream.sparkSession
+    path = work_dir(spark)
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/out")
+
+
 def first_of_key(stream: DataFrame, key: str, at: str, lifetime: str = "14 days") -> DataFrame:
     """The first row of a key; its state is forgotten after ``lifetime``, which bounds it."""
     return stream.withWatermark(at, lifetime).dropDuplicatesWithinWatermark([key])
@@ -54,55 +84,230 @@ def platforms(stream: DataFrame, key: str, at: str, subdomains: str, per_hour: f
     return narrow.groupBy("k").applyInPandasWithState(update, "k string, cert_count long, max_subdomains int, age_s double, is_platform boolean", "cert_count long, widest int, first double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def append_log(stream: DataFrame, path: str, checkpoint: str, enrich: Callable[[DataFrame], DataFrame] = lambda x: x, every: str = "5 seconds", key: str = "domain", at: str = "enriched_at") -> StreamingQuery:
-    """Append enriched batches to the log.
+def throttled(stream: DataFrame, key: str, at: str, gap: float, lifetime: str = "1 hour") -> DataFrame:
+    """``k, at, accepted, wait_s`` of a stream of requests: as in the batch operator, in the order of each micro-batch.
+
+    A key's state is one time; it is forgotten once the watermark has passed it by ``lifetime``.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    step, keep_ms = int(round(gap * 1e6)), _ms(lifetime)
+
+    def walk(name, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        us = np.sort(np.concatenate([rows["us"].to_numpy(np.int64) for rows in batches]))
+        wait = np.zeros(len(us), np.int64)
+        i = 0
+        while i < len(us):
+            if last is not None:
+                free = int(np.searchsorted(us, last + step))
+                wait[i:free] = last + step - us[i:free]
+                i = max(i, free)
+            if i < len(us):
+                last = int(us[i])
+                i += 1
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + keep_ms + step // 1000)
+        yield pd.DataFrame({"k": name[0], "us": us, "wait": wait})
+
+    narrow = stream.withWatermark(at, lifetime).select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), at)
+    walked = narrow.groupBy("k").applyInPandasWithState(walk, "k string, us long, wait long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return walked.select("k", F.timestamp_micros("us").alias("at"), (F.col("wait") == 0).alias("accepted"), F.when(F.col("wait") > 0, F.col("wait") / 1e6).alias("wait_s"))
+
+
+def quota(stream: DataFrame, user: str, at: str, limit: int, seconds: int = 60, lifetime: str = "10 minutes") -> DataFrame:
+    """``k, bucket, at, allowed``: is the request among the first ``limit`` of its user's fixed interval?  State: a count for each open interval."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    keep_ms = _ms(lifetime) + seconds * 1000
+
+    def walk(name, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        had = state.get[0] if state.exists else 0
+        us = np.sort(np.concatenate([rows["us"].to_numpy(np.int64) for rows in batches]))
+        state.update((had + len(us),))
+        state.setTimeoutTimestamp(max(int(name[1]) * seconds * 1000, state.getCurrentWatermarkMs()) + keep_ms)
+        yield pd.DataFrame({"k": name[0], "bucket": name[1], "us": us, "allowed": had + np.arange(len(us)) < limit})
+
+    narrow = stream.withWatermark(at, lifetime).select(F.col(user).cast("string").alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), at)
+    keyed = narrow.withColumn("bucket", F.floor(F.col("us") / F.lit(seconds * 1_000_000)).cast("long"))
+    walked = keyed.groupBy("k", "bucket").applyInPandasWithState(walk, "k string, bucket long, us long, allowed boolean", "n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return walked.select("k", "bucket", F.timestamp_micros("us").alias("at"), "allowed")
+
 
-    A batch goes to a folder of its own number, so one that is run again after a
-    failure replaces itself instead of doubling rows.
+def _ms(interval: str) -> int:
+    number, unit = interval.split()
+    return int(number) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
+
+
+def append_log(stream: DataFrame, path: str, checkpoint: str, enrich: Callable[[DataFrame], DataFrame] = lambda x: x, every: str | None = "5 seconds", key: str = "domain", at: str = "enriched_at") -> StreamingQuery:
+    """Append enriched batches to the log as ``enriched_month=../batch=N``; without ``every``, what is there is taken and the query ends.
+
+    A batch that is run again after a failure overwrites its own folders
+    instead of doubling rows; months can be pruned and dropped.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = enrich(batch).withColumn("enriched_month", month(at))
-        rows.repartition("enriched_month", key).sortWithinPartitions(key, at).write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+        rows = enrich(batch).withColumns({"enriched_month": month(at), "batch": F.lit(number).cast("long")})
+        sorted_ = rows.repartition("enriched_month", key).sortWithinPartitions("enriched_month", key, at)
+        sorted_.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("enriched_month", "batch").parquet(path)
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
+#: The current view's rows are dealt to this many buckets by key; a batch rewrites those that its keys fall in.
+BUCKETS = 64
 
-def keep_current(stream: DataFrame, path: str, checkpoint: str, key: str = "domain", at: str = "enriched_at", tie: str | None = None) -> StreamingQuery:
-    """Maintain the newest row of each key as ``path/version=N``; a batch run again rewrites its own version from the one before."""
+
+def keep_current(stream: DataFrame, path: str, checkpoint: str, key: str = "domain", at: str = "enriched_at", tie: str | None = None, buckets: int = BUCKETS, every: str | None = None) -> StreamingQuery:
+    """Maintain the newest row of each key as ``path/version=N/bucket=B``.
+
+    A batch writes the buckets that it touches, from their last finished
+    versions below its own number; a batch run again rewrites its own.  Of a
+    bucket the last two versions stay, so a reader of the one before is not cut off.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = newest_version(spark, path, number)
-        rows = batch if before is None else spark.read.schema(batch.schema).parquet(f"{path}/version={before:012d}").unionByName(batch)
-        latest(rows, key, at, tie).write.mode("overwrite").parquet(f"{path}/version={number:012d}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        held = rows.persist()
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # as many as there are buckets at most
+        before = {b: v for b, v in newest_buckets(spark, path, number).items() if b in touched}
+        if before:
+            rows_before = spark.read.schema(batch.schema).option("basePath", path).parquet(*[f"{path}/version={v:012d}/bucket={b}" for b, v in before.items()])
+            rows = rows.unionByName(rows_before.select(*batch.columns, "bucket"))
+        latest(rows, key, at, tie).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number:012d}")
+        held.unpersist()
+        expire(spark, path)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def newest_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
-    """The greatest version kept under ``path`` (smaller than ``below``)."""
+def _versions(spark: SparkSession, path: str):
+    """(file system, [(version, bucket, folder)]) of the finished versions under a path."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    found = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if s.getPath().getName().startswith("version=")]
-    return max([v for v in found if below is None or v < below], default=None)
+    found = []
+    for version in fs.listStatus(root) if fs.exists(root) else []:
+        folder, name = version.getPath(), version.getPath().getName()
+        if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+            for bucket in fs.listStatus(folder):
+                if bucket.getPath().getName().startswith("bucket="):
+                    found.append((int(name.split("=")[1]), int(bucket.getPath().getName().split("=")[1]), bucket.getPath()))
+    return fs, found
+
+
+def newest_buckets(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
+    """The last finished version (smaller than ``below``) of each bucket."""
+    newest: dict[int, int] = {}
+    for version, bucket, _ in _versions(spark, path)[1]:
+        if below is None or version < below:
+            newest[bucket] = max(version, newest.get(bucket, -1))
+    return newest
+
+
+def expire(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete all but the last ``keep`` finished versions of each bucket."""
+    fs, found = _versions(spark, path)
+    by: dict[int, list] = {}
+    for version, bucket, folder in found:
+        by.setdefault(bucket, []).append((version, folder))
+    for held in by.values():
+        for _, folder in sorted(held, key=lambda x: x[0])[:-keep]:
+            fs.delete(folder, True)
 
 
 def current_view(spark: SparkSession, path: str) -> DataFrame:
-    version = newest_version(spark, path)
-    if version is None:
+    """The newest row of each key, from the last finished version of each bucket."""
+    newest = newest_buckets(spark, path)
+    if not newest:
         raise FileNotFoundError(path)
-    return spark.read.parquet(f"{path}/version={version:012d}")
+    return spark.read.option("basePath", path).parquet(*[f"{path}/version={v:012d}/bucket={b}" for b, v in sorted(newest.items())]).drop("version", "bucket")
+
+
+class Refreshing:
+    """A table that is read anew when it is older than ``seconds``; if that fails, the one before stays in use.
+
+    For dimensions that a stream is joined to (call it in ``enrich``, which runs for
+    every micro-batch) and for aggregates that pages show.
+    """
+
+    def __init__(self, read: Callable[[], DataFrame], seconds: float, clock: Callable[[], float] = time.monotonic):
+        self.read, self.seconds, self.clock = read, seconds, clock
+        self.held: DataFrame | None = None
+        self.since = 0.0
+        self.failures = 0
+
+    def __call__(self) -> DataFrame:
+        if self.held is None or self.clock() - self.since >= self.seconds:
+            try:
+                fresh = self.read().persist()
+                fresh.count()
+            except Exception:
+                self.failures += 1
+                if self.held is None:
+                    raise
+            else:
+                if self.held is not None:
+                    self.held.unpersist()
+                self.held = fresh
+            self.since = self.clock()
+        return self.held
+
+
+def with_dimension(dimension: Refreshing, key: str) -> Callable[[DataFrame], DataFrame]:
+    """An ``enrich`` for :func:`append_log`: the dimension joined to each batch, as fresh as it is then."""
+    return lambda batch: batch.join(dimension(), key, "left")
+
+
+def recrawl_feed(stale: DataFrame, path: str, day: str) -> int:
+    """Write stale domains as ``domain, source`` files that the ingesting stream reads; a day's feed that is written again replaces itself.  Returns how many."""
+    rows = stale.select("domain", F.lit("recrawl").alias("source"))
+    rows.write.mode("overwrite").parquet(f"{path}/day={day}")
+    return stale.sparkSession.read.parquet(f"{path}/day={day}").count()
+
+
+class Progress(StreamingQueryListener):
+    """The last micro-batches' figures: rows, rows a second, state, and what was observed."""
+
+    def __init__(self, most: int = 100):
+        self.batches: deque[dict] = deque(maxlen=most)
+        self.ended: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.pop(str(event.runId), None)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.append({"name": p.name, "batch": p.batchId, "at": p.timestamp, "rows": p.numInputRows, "per_second": p.processedRowsPerSecond, "state_rows": sum(s.numRowsTotal for s in p.stateOperators)})
+
+    def onQueryIdle(self, event) -> None:
+        pass
 
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)] = event.exception
 
-def with_dimension(stream: DataFrame, read: Callable[[], DataFrame], key: str) -> DataFrame:
-    """A static side joined to each batch; it is read anew when a batch is planned."""
-    return stream.join(read(), key, "left")
+    def health(self, inflow: float) -> str:
+        """Drain against inflow over the batches held: keeping up, lagging or behind."""
+        drain = [b["per_second"] for b in self.batches if b["rows"]]
+        ratio = sum(drain) / len(drain) / inflow if drain and inflow else (1.0 if not inflow else 0.0)
+        return "ok" if ratio >= 0.9 else "warning" if ratio >= 0.5 else "critical"
 
 
-def poll_workers(lag: Column, most: int) -> Column:
-    """Parallel readers that a backlog asks for."""
-    return F.when(lag > 500_000, most).when(lag > 100_000, F.least(F.lit(most), F.lit(8))).when(lag > 50_000, F.least(F.lit(most), F.lit(4))).otherwise(1)
+def poll_workers(lag: Column, most: int, least: int = 1, target: int = 10_000) -> Column:
+    """Parallel readers that a backlog asks for: all of them far behind, a share of them nearer to the target, the least on it."""
+    part = lambda n, d: F.lit(most * n // d)
+    by_lag = F.floor(lag / 2000).cast("int") * least
+    return F.when(lag > 500_000, most).when(lag > 100_000, F.least(F.lit(most), by_lag)).when(lag > 50_000, F.least(F.lit(most), part(3, 4))).when(lag > target, F.least(F.lit(most), part(1, 4))).otherwise(least)
