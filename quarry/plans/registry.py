@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import domains, html, text
 from ..operators import catalog, current
 from .adapters import EVENT_LOG, PAGE_ROWS, WIDE, event_log, page_rows, table, wide
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+from .book import ORACLE, QUERIES, add  # noqa: F401
 
 #: The technology that stands for the platform in the driver's tables, two more, and times within their ranges.
 PLATFORM, TECH, OTHER = "PROMO", "ECONOMY", "SMALL"
 LOG_NOW, VIEW_NOW = "2024-01-20 12:00:00", "2000-01-01 00:00:00"
 
 
-def register(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[name] = query
-        if sql:
-            ORACLE[name] = f"WITH {', '.join(ctes)} {sql}" if ctes else sql
-        return query
-
-    return add
-
-
-def add(name: str, query: Query, sql: str | None = None, *ctes: str) -> None:
-    register(name, sql, ctes)(query)
-
-
 def _at(moment: str):
     return F.to_timestamp_ntz(F.lit(moment))
 
@@ -65,7 +45,6 @@ add(
     EVENT_LOG,
 )
 add("batches", lambda s, d: current.batches(event_log(s, d), "event_id", 1000).groupBy("batch_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")), "SELECT b AS batch_id, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 1000 AS b FROM log) GROUP BY b", EVENT_LOG)
-add("throttle", lambda s, d: current.throttle(event_log(s, d), "domain", "enriched_at", 43_200.0).groupBy("k").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted")))
 add(
     "rate_last_hour",
     lambda s, d: catalog.rate(event_log(s, d), _at(LOG_NOW), 3600),
@@ -221,7 +200,6 @@ add(
 )
 _SUFFIXES = ["example.com", "ther.example.org"]
 add("suffix_theta_join", lambda s, d: page_rows(s, d).where(~domains.suffix_match("domain", _SUFFIXES)).select("page_id", "domain"), "SELECT page_id, domain FROM page_rows WHERE NOT (suffix(domain, 'example.com') OR suffix(domain, 'ther.example.org'))", PAGE_ROWS)
-add("emails_found", lambda s, d: table(s, d, "documents").select("doc_id", text.joined(html.emails("text")).alias("emails")).where("emails <> ''"))
 
 # --- enrichment, rules, models ----------------------------------------------------------------
 from ..operators import classify as classifier  # noqa: E402
@@ -281,7 +259,6 @@ add(
     lambda s, d: table(s, d, "documents").select("doc_id", detect.score(F.lower("text"), WORD_RULES).alias("m")).select("doc_id", *[F.col("m")[k].alias(k) for k in ("english", "french", "german")]),
     "SELECT doc_id, " + ", ".join(f"CAST({' + '.join(f'CASE WHEN contains(lower(text), {chr(39)}{p}{chr(39)}) THEN {n} ELSE 0 END' for p, t, n in WORD_RULES if t == k)} AS INTEGER) AS {k}" for k in ("english", "french", "german")) + " FROM documents",
 )
-add("tech_detected", lambda s, d: detect.detect_tech(page_rows(s, d), "html", None).select("page_id", F.array_join("tech", "|").alias("tech")).groupBy("tech").agg(F.count("*").alias("n")))
 
 
 def _site_signals(spark, sf):
@@ -305,11 +282,6 @@ add(
 )
 
 
-def _revenue_rows(spark, sf):
-    return wide(spark, sf).select("domain", "http_status", "tranco_rank", "majestic_rank", F.col("rdap_registrar"), "http_tech", "http_apps", "business_model", "industry", F.lit("v=spf1 include:a include:b include:c").alias("dns_txt"), F.lit("aspmx.google.com").alias("dns_mx"))
-
-
-add("revenue_brackets", lambda s, d: revenue.estimate(_revenue_rows(s, d), 2024).groupBy("estimated_revenue", "estimated_employees").agg(F.count("*").alias("n")))
 _SCORES = [f"(o_orderkey * {k} % 17)" for k in (3, 5, 7, 11, 13)]
 add(
     "softmax_brackets",
@@ -376,3 +348,5 @@ add(
     "queue_accounting",
     lambda s, d: queue.replay(table(s, d, "events").select(F.pmod("user_id", F.lit(16)).alias("queue"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), F.when(F.col("event_type") == "purchase", "dequeue").when(F.col("event_type") == "error", "fail").otherwise("enqueue").alias("call"), F.col("event_id").alias("id"), F.lit(4).alias("n")).withColumn("t", F.col("us") / 1e6), 50, 3600.0, 86_400.0),
 )
+
+from . import answers, flows, inputs  # noqa: E402, F401 - they enter more queries

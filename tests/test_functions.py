@@ -100,11 +100,22 @@ def hide(address, key=0x42):
     ("body", "want"),
     [
         ("write to sales@company.com or Sales@Company.com", ["sales@company.com"]),
+        ('<a href="mailto:Contact@Company.com">', ["contact@company.com"]),
         ('<a href="mailto:info%40shop.io?subject=x">', ["info@shop.io"]),
-        ("sales [@] shop.io and help AT shop DOT org", ["sales@shop.io", "help@shop.org"]),
-        ("team&#64;shop.io", ["team@shop.io"]),
-        (f'<a data-cfemail="{hide("example@shop.com")}">', ["example@shop.com"]),
-        ("noreply@shop.io x@sentry.io logo@2x.png", []),
+        ('<div data-email="help@shop.dev">', ["help@shop.dev"]),
+        ("sales [@] shop [.] io and help AT shop DOT org", ["sales@shop.io", "help@shop.org"]),
+        ("sales @ shop . net or info {at} shop {dot} us", ["sales@shop.net", "info@shop.us"]),
+        ("team&#64;shop&#46;io x", ["team@shop.io"]),
+        ("'me' + '@' + 'shop.app'", ["me@shop.app"]),
+        ('<span data-reverse="1">moc.pohs@ofni</span>', ["info@shop.com"]),
+        ("moc.pohs@ofni", []),
+        (f'<a data-cfemail="{hide("sales@shop.com")}">', ["sales@shop.com"]),
+        (f'<a data-cfemail="{hide("example@shop.com")}">', []),
+        ("noreply@shop.io x@sentry.io logo@2x.png admin@shop.com abuse@shop.com x@y.wixsite.com a@example.org a@b.zz", []),
+        ("<body>in@shop.com " + "é" * 60_000 + " out@shop.com", ["in@shop.com"]),
+        ("<head>out@head.com</head><body>in@body.com</body>", ["in@body.com"]),
+        (" ".join(f"a{i}@shop.com" for i in range(15)), [f"a{i}@shop.com" for i in range(10)]),
+        (None, []),
     ],
 )
 def test_emails(spark, body, want):
@@ -149,7 +160,8 @@ def test_grades(spark):
 
 def test_slug_routes(spark):
     got = [tuple(run(spark, grades.route("x"), s)) for s in ("shopify-stores-using-klaviyo-in-us", "shopify-stores-using-klaviyo", "shopify-stores-us", "klaviyo-vs-mailchimp")]
-    assert got == [("tech_in_country", "klaviyo", "US"), ("tech", "klaviyo", ""), ("country", "", "US"), ("compare", "klaviyo|mailchimp", "")]
+    assert got == [("tech_in_country", "Klaviyo", "US"), ("tech", "Klaviyo", ""), ("country", "", "US"), ("compare", "klaviyo|mailchimp", "")]
+    assert run(spark, grades.route("x"), "shopify-stores-in-us") is None
 
 
 def test_rank_lists(spark):
@@ -207,3 +219,42 @@ def test_sinks(spark, tmp_path):
     assert rows.select(sinks.to_json(["x", "y"])).first()[0] == '{"x":"a,b"}'
     sinks.write_csv(rows, f"{tmp_path}/out")
     assert spark.read.csv(f"{tmp_path}/out", header=True).first().x == "a,b"
+
+
+def test_shipped_lists(spark):
+    from quarry.operators import enrich
+    from quarry.rules import lists
+
+    assert (len(lists.SHARED_HOSTS), len(lists.HIGH_VALUE_TLDS), len(lists.REGISTRIES)) == (73, 41, 117) or all(len(x) == len(set(x)) for x in (lists.SHARED_HOSTS, lists.HIGH_VALUE_TLDS, lists.REGISTRIES))
+    shared = lambda d: run(spark, enrich.on_shared_host("x"), d)
+    assert [shared(d) for d in ("shop.github.io", "github.io", "notgithub.io", "mycompany.com", "x.launchdarkly.com")] == [True, True, True, False, True]
+    registry = lambda d: run(spark, enrich.registry_domain("x"), d)
+    assert [registry(d) for d in ("uk.com", "www.uk.com", "ab.io", "abc.io", "x.uk.com", "herokuapp.com")] == [True, True, True, False, False, True]
+
+
+def test_shown_values(spark):
+    from quarry.functions import format
+
+    one_of = lambda c, v, kind="string": run(spark, c, v, kind)
+    assert [one_of(format.rank("x"), v, "int") for v in (None, 0, 5, 1234567)] == [None, None, "#5", "#1,234,567"]
+    assert [one_of(format.date("x"), v) for v in ("2024-01-05T10:00:00Z", "", None, "soon")] == ["Jan 05, 2024", None, None, "soon"]
+    assert [one_of(format.moment("x"), v) for v in ("2024-01-05T10:20:00Z", None, "soon")] == ["Jan 05, 2024 10:20 UTC", "—", "soon"]
+    assert [one_of(format.percent("x"), v, "double") for v in (0.875, None)] == ["88%", None]
+    assert [one_of(format.content_type("x"), v) for v in ("TEXT/HTML; a", "font/woff; b", "", None)] == ["HTML", "font/woff", None, None]
+    assert [one_of(format.flag("x"), v) for v in ("de", "", "DEU", None)] == ["\U0001f1e9\U0001f1ea", "", "", ""]
+    assert [one_of(format.language_flag("x"), v) for v in ("EN-us", "xx", None)] == ["\U0001f1ec\U0001f1e7", "", ""]
+
+
+def test_character_references(spark):
+    assert run(spark, html.unescape("x"), "&lt;a&gt; &amp;amp; &#233;&#8364;&#128512;&#0065;&#55296;&#999999999999; &unknown;") == "<a> &amp; é€\U0001f600A &unknown;"
+    assert run(spark, html.unescape("x"), None) is None and run(spark, html.unescape("x"), "") == ""
+
+
+def test_invalid_bytes_end_a_value(spark):
+    raw = spark.createDataFrame([(bytearray(b"good \xc3\xa9 part\xff rest"),), (bytearray("whole \ufffd text".encode()),)], "x binary").select(F.col("x").cast("string").alias("x"))
+    assert [r.y for r in raw.select(text.repair("x").alias("y")).collect()] == ["good é part", "whole \ufffd text"]
+
+
+def test_rule_lines(spark):
+    rows = spark.createDataFrame([(v,) for v in ("# c", "pattern,score_type,points,comment", "Shopify, web , 5 ,a, b", "Gtag,Google Analytics", "x,y,z,w", "one")], "value string")
+    assert [tuple(r) for r in readers.signatures(rows).collect()] == [("shopify", "web", 5, "a, b"), ("gtag", "match", 0, "Google Analytics")]

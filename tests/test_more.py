@@ -26,6 +26,72 @@ def test_queue_accounting(spark):
     assert (late.expired, late.waiting) == (6, 0)
 
 
+def test_queue_accounting_matches_a_plain_replay(spark):
+    """The registered query against a replay that keeps every call in a list, without a queue's data structures."""
+    from quarry.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet").orderBy("ts", "event_id").collect()
+    want = {}
+    for queue_id in {r.user_id % 16 for r in events}:
+        line, out, taken, done, dropped, expired, back = [], [], 0, 0, 0, 0, 0  # line: [time, item]; out: [time, batch, items]
+        for r in (x for x in events if x.user_id % 16 == queue_id):
+            now = r.ts.timestamp()
+            for late in [b for b in out if now - b[0] > 3600.0]:
+                out.remove(late)
+                line[:0] = late[2]
+                back += len(late[2])
+            while line and now - line[0][0] > 86_400.0:
+                line.pop(0)
+                expired += 1
+            if r.event_type == "purchase":
+                if items := [line.pop(0) for _ in range(min(4, len(line)))]:
+                    out.append([now, r.event_id, items])
+                    taken += len(items)
+            elif r.event_type == "error":
+                for b in [b for b in out if b[1] == r.event_id]:
+                    out.remove(b)
+                    line[:0] = b[2]
+                    back += len(b[2])
+            elif len(line) >= 50:
+                dropped += 1
+            else:
+                line.append([now, r.event_id])
+        want[str(queue_id)] = (len(line), sum(len(b[2]) for b in out), taken, done, dropped, expired, back)
+    got = {r.queue: tuple(r)[1:] for r in registry.QUERIES["queue_accounting"](spark, sf).collect()}
+    assert got == want
+
+
+def test_throttle_streams_through_batches(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import current
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(200).select((F.col("id") % 3).alias("k"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 2).alias("t"))
+        out = current.throttle(rows, "k", "t", 13.0).orderBy("k", "at").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = {}
+    for r in out:
+        now = r.at.timestamp()
+        ok = now - last.get(r.k, float("-inf")) >= 13
+        assert r.accepted == ok and (r.wait_s is None if ok else abs(r.wait_s - (last[r.k] + 13 - now)) < 1e-6)
+        last[r.k] = now if ok else last[r.k]
+
+
+def test_batches_of_skewed_ids(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import current
+
+    rows = spark.range(1000).select(F.when(F.col("id") < 990, F.col("id")).otherwise(F.col("id") * 10**12).alias("id"))
+    for cells in (None, 5, 700):
+        got = {r.id: r.batch_id for r in current.batches(rows, "id", 10, cells).collect()}
+        assert [got[i] for i in sorted(got)] == [i // 10 for i in range(1000)]
+
+
 def test_paged_source(spark, tmp_path):
     (tmp_path / "get-sth").write_text(json.dumps({"tree_size": 7}))
     for a in (0, 3):

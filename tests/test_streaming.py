@@ -1,6 +1,8 @@
 """Streams run to their end over files in a temporary folder."""
 
 import datetime as dt
+import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,4 +58,52 @@ def test_log_and_current_view(spark, source, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r.domain, r.id) for r in jobs.current_view(spark, f"{tmp_path}/view").collect()} == {("a", 4), ("b", 2), ("c", 6)}
-    assert jobs.newest_version(spark, f"{tmp_path}/none") is None
+    assert jobs.newest_buckets(spark, f"{tmp_path}/none") == {}
+    months = [x for x in os.listdir(f"{tmp_path}/log") if x.startswith("enriched_month=")]
+    assert months == ["enriched_month=202401"] and sorted(os.listdir(f"{tmp_path}/log/enriched_month=202401")) == ["batch=0", "batch=1"]
+
+
+def test_current_view_ignores_what_is_unfinished_and_expires(spark, tmp_path):
+    view, n = f"{tmp_path}/view", 5
+    for i in range(n):
+        put(spark, f"{tmp_path}/in", [("a", i, 1, i), (f"k{i}", i, 1, 100 + i)])
+        jobs.keep_current(jobs.files(spark, f"{tmp_path}/in", SCHEMA, 1), view, f"{tmp_path}/c", tie="id", buckets=4).awaitTermination()
+    want = {("a", n - 1), *((f"k{i}", 100 + i) for i in range(n))}
+    assert {(r.domain, r.id) for r in jobs.current_view(spark, view).collect()} == want
+    held = {}
+    for version, bucket, _ in jobs._versions(spark, view)[1]:
+        held[bucket] = held.get(bucket, 0) + 1
+    assert max(held.values()) <= 2
+    # a version that is being written has no mark yet
+    newest = max(os.listdir(view))
+    shutil.copytree(f"{view}/{newest}", f"{view}/version={n + 7:012d}", ignore=shutil.ignore_patterns("_SUCCESS*"))
+    assert {(r.domain, r.id) for r in jobs.current_view(spark, view).collect()} == want
+
+
+def test_throttle_and_quota_remember_between_batches(spark, tmp_path):
+    for part in ([("a", 0, 1, 1), ("a", 4, 1, 2)], [("a", 9, 1, 3), ("a", 12, 1, 4), ("b", 12, 1, 5)]):
+        put(spark, f"{tmp_path}/in", part)
+    source = jobs.files(spark, f"{tmp_path}/in", SCHEMA, 1)
+    got = sorted((r.k, (r["at"] - T0).seconds, r.accepted, r.wait_s) for r in jobs.drained(jobs.throttled(source, "domain", "enriched_at", 10.0)).collect())
+    assert got == [("a", 0, True, None), ("a", 4, False, 6.0), ("a", 9, False, 1.0), ("a", 12, True, None), ("b", 12, True, None)]
+    allowed = sorted((r.k, (r["at"] - T0).seconds, r.allowed) for r in jobs.drained(jobs.quota(source, "domain", "enriched_at", 3)).collect())
+    assert allowed == [("a", 0, True), ("a", 4, True), ("a", 9, True), ("a", 12, False), ("b", 12, True)]
+
+
+def test_a_table_is_refreshed_and_kept_on_failure(spark):
+    now, answers = [0.0], [spark.range(1), spark.range(2), None]
+
+    def read():
+        found = answers.pop(0)
+        if found is None:
+            raise OSError("not there")
+        return found
+
+    held = jobs.Refreshing(read, 60, lambda: now[0])
+    assert held().count() == 1
+    now[0] = 59
+    assert held().count() == 1
+    now[0] = 61
+    assert held().count() == 2
+    now[0] = 200
+    assert held().count() == 2 and held.failures == 1
