@@ -142,11 +142,17 @@ def suggest(rows: DataFrame, needle: str, n: int = 10) -> DataFrame:
 
 
 def landing(rows: DataFrame, tech: str = PLATFORM, exact: bool = True) -> DataFrame:
-    """Totals of the landing page: stores, rows, distinct technologies and apps."""
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    totals = rows.agg(F.count_if(holds("http_tech", tech)).alias("stores"), F.count("*").alias("total"))
-    parts = lambda c: rows.select(F.explode(values(c)).alias("x")).agg(distinct("x").alias(f"n_{c[5:]}"))
-    return totals.crossJoin(parts("http_tech")).crossJoin(parts("http_apps"))  # one row each
+    """Totals of the landing page in one scan: stores, rows, distinct technologies and apps."""
+    mark = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x")))
+    one = F.array(F.lit(""))
+    none = F.expr("cast(array() as array<string>)")
+    marks = F.concat(mark("total", one), mark("stores", F.when(holds("http_tech", tech), one).otherwise(none)), mark("n_tech", values("http_tech")), mark("n_apps", values("http_apps")))
+    found = rows.select(F.explode(marks).alias("m")).select("m.*")
+    of = lambda kind: F.col("kind") == kind
+    if exact:
+        counted = found.groupBy("kind", "x").agg(F.count("*").alias("n"))
+        return counted.agg(*[F.coalesce(F.sum(F.when(of(k), F.col("n"))), F.lit(0)).alias(k) for k in ("stores", "total")], *[F.count_if(of(k)).alias(k) for k in ("n_tech", "n_apps")])
+    return found.agg(*[F.count_if(of(k)).alias(k) for k in ("stores", "total")], *[F.approx_count_distinct(F.when(of(k), F.col("x"))).alias(k) for k in ("n_tech", "n_apps")])
 
 
 def _block(name: str, rows: DataFrame, label: str, number: str | None = "cnt") -> DataFrame:

@@ -24,21 +24,66 @@ OTHER_TECH = {"Substack": ("Newsletter", 12), "Ghost": ("Media", 10), "Discourse
 SHOP_APPS = "Klaviyo Judge.me Afterpay Klarna Smile.io ReCharge Yotpo Privy Stamped.io Loox Oberlo DSers Spocket".split()
 OTHER_APPS = {("LearnDash", "LifterLMS", "Sensei"): ("Education", 10), ("BuddyPress", "bbPress"): ("Community", 8), ("Easy Digital Downloads",): ("Ecommerce", 10)}
 
-#: Schema.org type; model and points; industry and points ("-": none).
-SCHEMA_TYPES = """
-SoftwareApplication SaaS 10 - 0; WebApplication SaaS 10 - 0; MobileApplication SaaS 8 - 0; Product Ecommerce 8 - 0; IndividualProduct Ecommerce 9 - 0;
-Dentist Consulting 8 Healthcare 10; Physician Consulting 8 Healthcare 10; Hospital Consulting 6 Healthcare 10; Pharmacy Ecommerce 6 Healthcare 9; MedicalClinic Consulting 7 Healthcare 10;
-MedicalOrganization Consulting 6 Healthcare 8; LegalService Consulting 8 Legal 10; Attorney Consulting 9 Legal 10; Notary Consulting 7 Legal 8; Restaurant Consulting 6 Food & Beverage 10;
-CafeOrCoffeeShop Consulting 6 Food & Beverage 10; Bakery Ecommerce 5 Food & Beverage 10; BarOrPub Consulting 5 Food & Beverage 10; FastFoodRestaurant Consulting 6 Food & Beverage 10;
-Brewery Consulting 5 Food & Beverage 9; RealEstateAgent Consulting 7 Real Estate 10; BankOrCreditUnion Consulting 6 Fintech 10; InsuranceAgency Consulting 7 Fintech 9; AccountingService Consulting 8 Fintech 8;
-FinancialService Consulting 6 Fintech 9; ClothingStore Ecommerce 9 Fashion 10; ElectronicsStore Ecommerce 9 General 6; JewelryStore Ecommerce 9 Fashion 8; GroceryStore Ecommerce 9 Food & Beverage 8;
-FurnitureStore Ecommerce 9 Home & Garden 10; PetStore Ecommerce 9 General 6; ShoeStore Ecommerce 9 Fashion 9; SportingGoodsStore Ecommerce 9 General 5; HardwareStore Ecommerce 8 Construction & Manufacturing 6;
-HomeGoodsStore Ecommerce 9 Home & Garden 9; Store Ecommerce 6 - 0; BeautySalon Consulting 6 Beauty 10; HairSalon Consulting 6 Beauty 10; NailSalon Consulting 6 Beauty 10; DaySpa Consulting 6 Beauty 10;
-Electrician Consulting 7 Construction & Manufacturing 10; Plumber Consulting 7 Construction & Manufacturing 10; RoofingContractor Consulting 7 Construction & Manufacturing 10;
-GeneralContractor Consulting 7 Construction & Manufacturing 10; HVACBusiness Consulting 7 Construction & Manufacturing 10; TravelAgency Consulting 7 Travel 10; Hotel Consulting 6 Travel 10;
-LodgingBusiness Consulting 6 Travel 9; EducationalOrganization Education 9 Education 9; School Education 9 Education 10; CollegeOrUniversity Education 10 Education 10; Course Education 8 Education 8;
-NewsMediaOrganization Media 9 Media & Entertainment 9; LocalBusiness Consulting 3 - 0; ProfessionalService Consulting 6 - 0; Organization - 0 - 0; WebSite - 0 - 0
-"""
+#: Schema.org type, model and its points, industry and its points (empty: none).
+SCHEMA_TYPES = [
+    ("SoftwareApplication", "SaaS", 10, "", 0),
+    ("WebApplication", "SaaS", 10, "", 0),
+    ("MobileApplication", "SaaS", 8, "", 0),
+    ("Product", "Ecommerce", 8, "", 0),
+    ("IndividualProduct", "Ecommerce", 9, "", 0),
+    ("Dentist", "Consulting", 8, "Healthcare", 10),
+    ("Physician", "Consulting", 8, "Healthcare", 10),
+    ("Hospital", "Consulting", 6, "Healthcare", 10),
+    ("Pharmacy", "Ecommerce", 6, "Healthcare", 9),
+    ("MedicalClinic", "Consulting", 7, "Healthcare", 10),
+    ("MedicalOrganization", "Consulting", 6, "Healthcare", 8),
+    ("LegalService", "Consulting", 8, "Legal", 10),
+    ("Attorney", "Consulting", 9, "Legal", 10),
+    ("Notary", "Consulting", 7, "Legal", 8),
+    ("Restaurant", "Consulting", 6, "Food & Beverage", 10),
+    ("CafeOrCoffeeShop", "Consulting", 6, "Food & Beverage", 10),
+    ("Bakery", "Ecommerce", 5, "Food & Beverage", 10),
+    ("BarOrPub", "Consulting", 5, "Food & Beverage", 10),
+    ("FastFoodRestaurant", "Consulting", 6, "Food & Beverage", 10),
+    ("Brewery", "Consulting", 5, "Food & Beverage", 9),
+    ("RealEstateAgent", "Consulting", 7, "Real Estate", 10),
+    ("BankOrCreditUnion", "Consulting", 6, "Fintech", 10),
+    ("InsuranceAgency", "Consulting", 7, "Fintech", 9),
+    ("AccountingService", "Consulting", 8, "Fintech", 8),
+    ("FinancialService", "Consulting", 6, "Fintech", 9),
+    ("ClothingStore", "Ecommerce", 9, "Fashion", 10),
+    ("ElectronicsStore", "Ecommerce", 9, "General", 6),
+    ("JewelryStore", "Ecommerce", 9, "Fashion", 8),
+    ("GroceryStore", "Ecommerce", 9, "Food & Beverage", 8),
+    ("FurnitureStore", "Ecommerce", 9, "Home & Garden", 10),
+    ("PetStore", "Ecommerce", 9, "General", 6),
+    ("ShoeStore", "Ecommerce", 9, "Fashion", 9),
+    ("SportingGoodsStore", "Ecommerce", 9, "General", 5),
+    ("HardwareStore", "Ecommerce", 8, "Construction & Manufacturing", 6),
+    ("HomeGoodsStore", "Ecommerce", 9, "Home & Garden", 9),
+    ("Store", "Ecommerce", 6, "", 0),
+    ("BeautySalon", "Consulting", 6, "Beauty", 10),
+    ("HairSalon", "Consulting", 6, "Beauty", 10),
+    ("NailSalon", "Consulting", 6, "Beauty", 10),
+    ("DaySpa", "Consulting", 6, "Beauty", 10),
+    ("Electrician", "Consulting", 7, "Construction & Manufacturing", 10),
+    ("Plumber", "Consulting", 7, "Construction & Manufacturing", 10),
+    ("RoofingContractor", "Consulting", 7, "Construction & Manufacturing", 10),
+    ("GeneralContractor", "Consulting", 7, "Construction & Manufacturing", 10),
+    ("HVACBusiness", "Consulting", 7, "Construction & Manufacturing", 10),
+    ("TravelAgency", "Consulting", 7, "Travel", 10),
+    ("Hotel", "Consulting", 6, "Travel", 10),
+    ("LodgingBusiness", "Consulting", 6, "Travel", 9),
+    ("EducationalOrganization", "Education", 9, "Education", 9),
+    ("School", "Education", 9, "Education", 10),
+    ("CollegeOrUniversity", "Education", 10, "Education", 10),
+    ("Course", "Education", 8, "Education", 8),
+    ("NewsMediaOrganization", "Media", 9, "Media & Entertainment", 9),
+    ("LocalBusiness", "Consulting", 3, "", 0),
+    ("ProfessionalService", "Consulting", 6, "", 0),
+    ("Organization", "", 0, "", 0),
+    ("WebSite", "", 0, "", 0),
+]
 
 #: What paths must hold (comma: any of; +: all; !: none), the category and its points.
 PAGE_RULES = """
@@ -64,11 +109,29 @@ properties,homes,real estate,listings: Real Estate 6
 practice areas,attorneys,legal: Legal 6
 patient,appointment,dentist,doctor: Healthcare 5
 """
-#: Suffixes and the industry points of each.
-TLD_POINTS = (
-    "edu Education 12; gov General 10; law Legal 10; legal Legal 9; attorney Legal 9; dental Healthcare 9; health Healthcare 8; clinic Healthcare 8; hospital Healthcare 9; restaurant Food & Beverage 9; "
-    "cafe Food & Beverage 8; bank Fintech 12; insurance Fintech 9; realty Real Estate 9; homes Real Estate 8; ai AI & ML 6; dev DevTools 5; travel Travel 8; tours Travel 8; construction Construction & Manufacturing 9"
-)
+#: Suffix, industry, points.
+TLD_POINTS = [
+    ("edu", "Education", 12),
+    ("gov", "General", 10),
+    ("law", "Legal", 10),
+    ("legal", "Legal", 9),
+    ("attorney", "Legal", 9),
+    ("dental", "Healthcare", 9),
+    ("health", "Healthcare", 8),
+    ("clinic", "Healthcare", 8),
+    ("hospital", "Healthcare", 9),
+    ("restaurant", "Food & Beverage", 9),
+    ("cafe", "Food & Beverage", 8),
+    ("bank", "Fintech", 12),
+    ("insurance", "Fintech", 9),
+    ("realty", "Real Estate", 9),
+    ("homes", "Real Estate", 8),
+    ("ai", "AI & ML", 6),
+    ("dev", "DevTools", 5),
+    ("travel", "Travel", 8),
+    ("tours", "Travel", 8),
+    ("construction", "Construction & Manufacturing", 9),
+]
 #: Keyword patterns; full points in title, heading or description, half of them (rounded down) in the body.
 MODEL_PATTERNS = [
     (r"\bsaas\b|cloud[- ]based|cloud platform", "SaaS", 7),
@@ -167,10 +230,6 @@ def _rule_lines(points: Points, layer: str, text: Column, rules: str) -> None:
         points.add(layer, _side(category), category, reduce(lambda a, b: a & b, parts), int(amount))
 
 
-def _entries(text: str) -> list[list[str]]:
-    return [x.split(" ") for x in text.replace("\n", " ").split(";") if x.strip() for x in [" ".join(x.split())]]
-
-
 def _count_of(items: Column, wanted: list[str]) -> Column:
     return F.size(F.filter(items, lambda x: x.isin(wanted)))
 
@@ -188,18 +247,16 @@ def points_of(c: dict[str, Column]) -> Points:
     points.add("tech", "model", "Ecommerce", shop_apps > 0, 4 + shop_apps * 2)
     for names, (category, amount) in OTHER_APPS.items():
         points.add("tech", "model", category, _count_of(apps, list(names)) > 0, amount)
-    for words in _entries(SCHEMA_TYPES):
-        at = next(i for i in range(1, len(words)) if words[i].isdigit())
-        model, amount, industry, more = " ".join(words[1:at]), int(words[at]), " ".join(words[at + 1 : -1]), int(words[-1])
-        hit = c["http_schema_type"] == words[0]
+    for kind, model, amount, industry, more in SCHEMA_TYPES:
+        hit = c["http_schema_type"] == kind
         points.add("schema", "model", model, hit, amount)
         points.add("schema", "industry", industry, hit, more)
     points.add("schema", "model", "Ecommerce", c["http_og_type"] == "product", 6)
     points.add("schema", "model", "Media", c["http_og_type"] == "article", 4)
     _rule_lines(points, "pages", F.lower(c["http_pages"]), PAGE_RULES)
     _rule_lines(points, "nav", F.lower(c["nav_links"]), NAV_RULES)
-    for words in _entries(TLD_POINTS):
-        points.add("tld", "industry", " ".join(words[1:-1]), F.lower(c["ctl_tld"]) == words[0], int(words[-1]))
+    for suffix, industry, amount in TLD_POINTS:
+        points.add("tld", "industry", industry, F.lower(c["ctl_tld"]) == suffix, amount)
     points.add("tld", "model", "Education", F.lower(c["ctl_tld"]) == "edu", 10)
     for side, patterns in (("model", MODEL_PATTERNS), ("industry", INDUSTRY_PATTERNS)):
         for i, (_, category, _) in enumerate(patterns):

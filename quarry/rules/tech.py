@@ -226,67 +226,54 @@ ShareThis: dsms0mj1bbhn4.cloudfront.net/assets/static/share
 Adobe RUM: rum.hlx.page
 SpeedCurve: cdn.speedcurve.com
 """)
-# Where public libraries are served from, and which of them (c, j, u) serve which library.
-_HOSTS = {"c": "cdnjs.cloudflare.com/ajax/libs/", "j": "cdn.jsdelivr.net/npm/", "u": "unpkg.com/"}
-_LIBRARIES = """
-jQuery c:jquery
-Vue.js j:vue u:vue c:vue
-React u:react c:react
-Alpine.js j:alpinejs u:alpinejs
-htmx u:htmx.org j:htmx
-Bootstrap j:bootstrap
-Materialize c:materialize j:materialize
-Semantic UI c:semantic-ui j:semantic-ui
-UIKit c:uikit j:uikit
-Foundation c:foundation j:foundation
-Bulma c:bulma j:bulma
-Tachyons c:tachyons j:tachyons
-Skeleton c:skeleton
-Swiper j:swiper u:swiper
-GSAP c:gsap
-Font Awesome c:font-awesome
-Anime.js c:animejs
-AOS u:aos j:aos
-Lottie c:lottie-web j:lottie-web
-Owl Carousel c:owlcarousel2
-Slick c:slick-carousel j:slick-carousel
-Flickity c:flickity
-Masonry c:masonry j:masonry-layout
-Isotope c:jquery.isotope u:isotope-layout
-Lightbox2 c:lightbox2
-GLightbox j:glightbox
-Fancybox c:fancybox j:@fancyapps/fancybox
-SweetAlert2 c:sweetalert2 j:sweetalert2
-Toastr c:toastr j:toastr
-Select2 c:select2 j:select2
-Flatpickr c:flatpickr j:flatpickr
-Choices.js j:choices.js
-Sortable.js j:sortablejs c:sortable
-Popper.js u:@popperjs c:popper.js
-Tippy.js u:@tippy.js c:tippy.js
-Highlight.js c:highlight.js j:highlight.js
-Prism.js c:prism j:prismjs
-Moment.js c:moment.js j:moment
-Lodash c:lodash.js j:lodash
-Axios c:axios j:axios
-Socket.IO c:socket.io
-Chart.js c:chart.js j:chart.js
-D3.js c:d3 j:d3
-Three.js c:three.js u:three
-Leaflet c:leaflet u:leaflet
-"""
-
-
-def _libraries() -> list:
-    out = []
-    for line in _LIBRARIES.strip().splitlines():
-        words = line.split()
-        at = next(i for i, w in enumerate(words) if w[1:2] == ":")
-        out.append((" ".join(words[:at]), [[_HOSTS[w[0]] + w[2:]] for w in words[at:]]))
-    return out
-
-
-SCRIPTS += _libraries()
+# Libraries in addresses of public hosts.
+SCRIPTS += parse("""
+jQuery: cdnjs.cloudflare.com/ajax/libs/jquery
+Vue.js: cdn.jsdelivr.net/npm/vue, unpkg.com/vue, cdnjs.cloudflare.com/ajax/libs/vue
+React: unpkg.com/react, cdnjs.cloudflare.com/ajax/libs/react
+Alpine.js: cdn.jsdelivr.net/npm/alpinejs, unpkg.com/alpinejs
+htmx: unpkg.com/htmx.org, cdn.jsdelivr.net/npm/htmx
+Bootstrap: cdn.jsdelivr.net/npm/bootstrap
+Materialize: cdnjs.cloudflare.com/ajax/libs/materialize, cdn.jsdelivr.net/npm/materialize
+Semantic UI: cdnjs.cloudflare.com/ajax/libs/semantic-ui, cdn.jsdelivr.net/npm/semantic-ui
+UIKit: cdnjs.cloudflare.com/ajax/libs/uikit, cdn.jsdelivr.net/npm/uikit
+Foundation: cdnjs.cloudflare.com/ajax/libs/foundation, cdn.jsdelivr.net/npm/foundation
+Bulma: cdnjs.cloudflare.com/ajax/libs/bulma, cdn.jsdelivr.net/npm/bulma
+Tachyons: cdnjs.cloudflare.com/ajax/libs/tachyons, cdn.jsdelivr.net/npm/tachyons
+Skeleton: cdnjs.cloudflare.com/ajax/libs/skeleton
+Swiper: cdn.jsdelivr.net/npm/swiper, unpkg.com/swiper
+GSAP: cdnjs.cloudflare.com/ajax/libs/gsap
+Font Awesome: cdnjs.cloudflare.com/ajax/libs/font-awesome
+Anime.js: cdnjs.cloudflare.com/ajax/libs/animejs
+AOS: unpkg.com/aos, cdn.jsdelivr.net/npm/aos
+Lottie: cdnjs.cloudflare.com/ajax/libs/lottie-web, cdn.jsdelivr.net/npm/lottie-web
+Owl Carousel: cdnjs.cloudflare.com/ajax/libs/owlcarousel2
+Slick: cdnjs.cloudflare.com/ajax/libs/slick-carousel, cdn.jsdelivr.net/npm/slick-carousel
+Flickity: cdnjs.cloudflare.com/ajax/libs/flickity
+Masonry: cdnjs.cloudflare.com/ajax/libs/masonry, cdn.jsdelivr.net/npm/masonry-layout
+Isotope: cdnjs.cloudflare.com/ajax/libs/jquery.isotope, unpkg.com/isotope-layout
+Lightbox2: cdnjs.cloudflare.com/ajax/libs/lightbox2
+GLightbox: cdn.jsdelivr.net/npm/glightbox
+Fancybox: cdnjs.cloudflare.com/ajax/libs/fancybox, cdn.jsdelivr.net/npm/@fancyapps/fancybox
+SweetAlert2: cdnjs.cloudflare.com/ajax/libs/sweetalert2, cdn.jsdelivr.net/npm/sweetalert2
+Toastr: cdnjs.cloudflare.com/ajax/libs/toastr, cdn.jsdelivr.net/npm/toastr
+Select2: cdnjs.cloudflare.com/ajax/libs/select2, cdn.jsdelivr.net/npm/select2
+Flatpickr: cdnjs.cloudflare.com/ajax/libs/flatpickr, cdn.jsdelivr.net/npm/flatpickr
+Choices.js: cdn.jsdelivr.net/npm/choices.js
+Sortable.js: cdn.jsdelivr.net/npm/sortablejs, cdnjs.cloudflare.com/ajax/libs/sortable
+Popper.js: unpkg.com/@popperjs, cdnjs.cloudflare.com/ajax/libs/popper.js
+Tippy.js: unpkg.com/@tippy.js, cdnjs.cloudflare.com/ajax/libs/tippy.js
+Highlight.js: cdnjs.cloudflare.com/ajax/libs/highlight.js, cdn.jsdelivr.net/npm/highlight.js
+Prism.js: cdnjs.cloudflare.com/ajax/libs/prism, cdn.jsdelivr.net/npm/prismjs
+Moment.js: cdnjs.cloudflare.com/ajax/libs/moment.js, cdn.jsdelivr.net/npm/moment
+Lodash: cdnjs.cloudflare.com/ajax/libs/lodash.js, cdn.jsdelivr.net/npm/lodash
+Axios: cdnjs.cloudflare.com/ajax/libs/axios, cdn.jsdelivr.net/npm/axios
+Socket.IO: cdnjs.cloudflare.com/ajax/libs/socket.io
+Chart.js: cdnjs.cloudflare.com/ajax/libs/chart.js, cdn.jsdelivr.net/npm/chart.js
+D3.js: cdnjs.cloudflare.com/ajax/libs/d3, cdn.jsdelivr.net/npm/d3
+Three.js: cdnjs.cloudflare.com/ajax/libs/three.js, unpkg.com/three
+Leaflet: cdnjs.cloudflare.com/ajax/libs/leaflet, unpkg.com/leaflet
+""")
 # In addresses of links.
 LINKS = parse("""
 Google Fonts: fonts.googleapis.com, fonts.gstatic.com
