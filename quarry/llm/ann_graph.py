@@ -1,14 +1,18 @@
 """Approximate nearest neighbours on robust-pruned directed graphs, a graph for each shard.
 
 Vectors are dealt to shards by hash.  In a shard, batches of vectors run greedy
-searches from a few far-apart nodes over the graph so far; the vectors a search
-visits are the candidates, of which relaxed distance pruning keeps diverse
-edges (an edge is dropped if a kept neighbour is closer to the candidate than
-the node is, by a factor).  Reverse edges are added and pruned alike.  A query
-beam-searches every shard, and the shards' best are merged.
-
-Equal vectors are one node that holds the least ids (as many as a result can
-need), so a large group of copies neither bends the graph nor fills a shard.
+searches from a few far-apart nodes over the graph so far; the best nodes a
+search meets (its final beam) and the node's edges so far are the candidates,
+of which relaxed distance pruning keeps diverse edges (an edge is dropped if a
+kept neighbour is closer to the candidate than the node is, by a factor).
+Reverse edges are added and pruned alike.  A query beam-searches every shard,
+and the shards' best are merged.
+
+Equal vectors are one row that holds the least ids (as many as a result can
+need), and rows of one direction (to single precision) are one node, so a large
+group of copies neither bends the graph nor fills a shard.  Vectors keep their
+double precision throughout: every row of the nodes that a search finds is
+scored by it, and only the unit vectors by which searches go are narrower.
 """
 
 from __future__ import annotations
@@ -17,14 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
 
-#: Distinct vectors in a shard, about.
-SHARD = 8192
+#: Distinct vectors in a shard: the square root of all times GROWTH, within these bounds.  Every query visits
+#: every shard, so that shards grow with the index; the upper bound is what a task holds and builds.
+SHARD, SHARD_MOST, GROWTH = 8192, 1 << 17, 36
 DEGREE, BEAM, RELAX = 32, 64, 1.2
 #: Nodes a query's beam holds in each shard.
 QUERY_BEAM = 160
@@ -38,20 +42,28 @@ def _valid(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     rows, out = [], []
     for i, v in enumerate(lists.to_pylist()):
         if v and None not in v:
-            x = np.asarray(v, np.float32)
+            x = np.asarray(v, np.float64)
             if np.isfinite(x).all() and x.any():
                 rows.append(i)
                 out.append(x)
     return np.array(rows, np.int64), out
 
 
+def _scaled(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of one length, each times a power of two that brings it near one (so no square over- or underflows), and their norms."""
+    x = np.stack([np.frombuffer(k, np.float64) for k in keys])
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+    return x, np.sqrt((x * x).sum(axis=1))
+
+
 def _merge_ids(held: dict[bytes, list[int]], key: bytes, ids: list[int], most: int) -> None:
+    """Keep the ``most`` least ids of a vector; an id that repeats counts once."""
     have = held.get(key)
-    held[key] = sorted(ids if have is None else [*have, *ids])[:most]
+    held[key] = sorted(set(ids) if have is None else {*have, *ids})[:most]
 
 
 def distinct_vectors(vectors: DataFrame, most: int) -> DataFrame:
-    """``v`` (a vector's float32 bytes) and ``ids`` (its ``most`` least ids), pre-merged in each partition."""
+    """``v`` (a vector's double-precision bytes) and ``ids`` (its ``most`` least ids), pre-merged in each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
@@ -69,17 +81,18 @@ def distinct_vectors(vectors: DataFrame, most: int) -> DataFrame:
     def _rows(held: dict[bytes, list[int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["v", "ids"])
 
-    narrow = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v")).where("id is not null")
+    narrow = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null")
     return narrow.mapInArrow(run, "v binary, ids array<long>")
 
 
 def _far_apart(unit: np.ndarray, count: int) -> np.ndarray:
     """Nodes chosen one by one, each the farthest from those chosen."""
-    found = [int(np.argmin(unit @ unit.mean(axis=0)))] if count else []
-    near = unit @ unit[found[0]] if count else None
+    found: list[int] = []
+    near = unit @ unit.mean(axis=0) if count else np.empty(0, np.float32)
     while len(found) < count:
         found.append(int(near.argmin()))
-        near = np.maximum(near, unit @ unit[found[-1]])
+        near = unit @ unit[found[-1]] if len(found) == 1 else np.maximum(near, unit @ unit[found[-1]])
+        near[found] = np.inf
     return np.array(found, np.int64)
 
 
@@ -174,36 +187,45 @@ class Graph:
             ids[live], near[live], done[live] = (np.take_along_axis(x, best, 1) for x in (all_ids, all_near, all_done))
 
 
-def build(vectors: DataFrame, most: int = 6, shard: int = SHARD, degree: int = DEGREE, beam: int = BEAM, relax: float = RELAX) -> DataFrame:
-    """The index: ``shard, node, entries, v, ids, edges`` (``entries`` on node 0), a row for each distinct vector.
+def build(vectors: DataFrame, most: int = 6, shard: int | None = None, degree: int = DEGREE, beam: int = BEAM, relax: float = RELAX) -> DataFrame:
+    """The index: ``shard, node, entries, v, ids, edges``, a row for each distinct vector.
+
+    The first row of a node has its ``edges``, the first of all the ``entries``.
 
-    A task holds one shard at a time.  Rows without an id, null or zero vectors
-    and those with null or non-finite components take no part.
+    A task holds one shard.  ``shard`` is the number of distinct vectors in one,
+    by default grown with the index.  Rows without an id, null or zero vectors
+    and those with null or non-finite components take no part; rows that repeat
+    id and vector count once.
     """
     pieces = materialize(distinct_vectors(vectors, most), "vectors")
-    shards = max(1, -(-pieces.count() // shard))
+    n = pieces.count()
+    size = shard or min(SHARD_MOST, max(SHARD, int(GROWTH * n**0.5)))
+    shards = max(1, -(-n // size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, dict[bytes, list[int]]] = {}
+        held: dict[bytes, list[int]] = {}
+        number = 0
         for batch in batches:
             for number, v, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                _merge_ids(by.setdefault(number, {}), v, ids, most)
-        while by:
-            number, held = by.popitem()
-            for width in sorted({len(k) for k in held}):  # vectors of another length share no measure
-                keys = sorted(k for k in held if len(k) == width)
-                unit = np.stack([np.frombuffer(k, np.float32) for k in keys]).astype(np.float64)
-                unit = (unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))).astype(np.float32)
-                graph = Graph(unit, degree, beam, relax)
-                for at in range(0, len(keys), 4096):
-                    part = keys[at : at + 4096]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([number] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int32()), pa.array([graph.entries.tolist() if at + i == 0 else None for i in range(len(part))], pa.list_(pa.int32())), pa.array(part, pa.binary()), pa.array([held[k] for k in part], pa.list_(pa.int64())), pa.array(graph.edges[at : at + 4096].tolist(), pa.list_(pa.int32()))],
-                        names=["shard", "node", "entries", "v", "ids", "edges"],
-                    )
-
-    dealt = pieces.select(F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard"), "v", "ids").repartition(shards, "shard")
-    return materialize(dealt.mapInArrow(run, "shard long, node int, entries array<int>, v binary, ids array<long>, edges array<int>"), "graph")
+                _merge_ids(held, v, ids, most)
+        for width in sorted({len(k) for k in held}):  # vectors of another length share no measure
+            keys = sorted(k for k in held if len(k) == width)
+            raw, norm = _scaled(keys)
+            unit, node = np.unique((raw / norm[:, None]).astype(np.float32) + np.float32(0), axis=0, return_inverse=True)
+            node = node.ravel()
+            order = np.argsort(node, kind="stable")
+            first = np.concatenate(([True], np.diff(node[order]) > 0))
+            graph = Graph(unit, degree, beam, relax)
+            for at in range(0, len(keys), 4096):
+                part, lead = order[at : at + 4096], first[at : at + 4096]
+                columns = [
+                    pa.array([number] * len(part), pa.int32()), pa.array(node[part].astype(np.int32)), pa.array([graph.entries.tolist() if at + i == 0 else None for i in range(len(part))], pa.list_(pa.int32())), pa.array([keys[i] for i in part], pa.binary()),
+                    pa.array([held[keys[i]] for i in part], pa.list_(pa.int64())), pa.array([graph.edges[n].tolist() if f else None for n, f in zip(node[part], lead)], pa.list_(pa.int32())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "node", "entries", "v", "ids", "edges"])
+
+    dealt = pieces.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "v", "ids").repartitionById(shards, "shard")
+    return materialize(dealt.mapInArrow(run, "shard int, node int, entries array<int>, v binary, ids array<long>, edges array<int>"), "graph")
 
 
 class _Loaded(Graph):
@@ -216,73 +238,69 @@ class _Loaded(Graph):
 def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = QUERY_BEAM) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest of each query by cosine, ties to the smaller id.
 
-    ``queries`` has ``vec_id, embedding``; a query's own id is no result.
-    Queries go to every shard in blocks; a task holds one shard's graph and one
-    block.  Scores are computed anew from the original vectors in double
-    precision.  An index needs ``k + 1`` ids for each vector to be whole.
+    ``queries`` has ``vec_id, embedding``; a query's own id is no result, and
+    queries that share an id are answered as one.  Queries go to every shard in
+    blocks; a task holds one shard's graph and one block.  Scores are computed
+    anew from the original vectors in double precision.  An index needs
+    ``k + 1`` ids for each vector to be whole.
     """
-    shards = sorted(r[0] for r in index.select("shard").distinct().collect())  # a number for each shard
+    shards = 1 + (index.agg(F.max("shard")).first()[0] or 0)
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = _valid(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "v"])
 
-    asked = queries.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v")).where("id is not null").mapInArrow(taken, "id long, v binary")
-    asked = asked.select(F.explode(F.array(*[F.lit(s).cast("long") for s in shards]) if shards else F.expr("cast(array() as array<long>)")).alias("shard"), F.lit(1).alias("kind"), F.col("id").alias("node"), F.expr("cast(null as array<int>)").alias("entries"), "v", F.expr("cast(null as array<long>)").alias("ids"), F.expr("cast(null as array<int>)").alias("edges"))
+    asked = queries.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null").mapInArrow(taken, "id long, v binary")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("id").alias("node"), F.expr("cast(null as array<int>)").alias("entries"), "v", F.expr("cast(null as array<long>)").alias("ids"), F.expr("cast(null as array<int>)").alias("edges"))
     nodes = index.select("shard", F.lit(0).alias("kind"), F.col("node").cast("long").alias("node"), "entries", "v", "ids", "edges")
-    both = nodes.unionByName(asked).repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "kind", F.length("v"), "node")
+    both = nodes.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("kind", F.length("v"), "node", F.isnull("edges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        shard, graphs, out = None, {}, []
+        held: dict[int, list] = {}  # by the vectors' length
+        graphs: dict[int, tuple] = {}
+        block: list[tuple[int, bytes]] = []
 
         def load() -> None:
             for width, rows in held.items():
-                raw = np.stack([np.frombuffer(r[0], np.float32) for r in rows]).astype(np.float64)
-                size = np.sqrt((raw * raw).sum(axis=1))
-                graphs[width] = (_Loaded((raw / size[:, None]).astype(np.float32), np.array([r[2] for r in rows], np.int32), rows[0][3]), raw, size, [r[1] for r in rows])
+                raw, size = _scaled([r[0] for r in rows])
+                first = np.array([i for i, r in enumerate(rows) if r[2] is not None])
+                unit = (raw[first] / size[first][:, None]).astype(np.float32) + np.float32(0)
+                graph = _Loaded(unit, np.array([rows[i][2] for i in first], np.int32), rows[0][3])
+                graphs[width] = graph, np.append(first, len(rows)), raw, size, [r[1] for r in rows]
             held.clear()
 
-        def ask(ids: list[int], vectors: list[bytes]) -> None:
-            width = len(vectors[0])
+        def ask() -> Iterator[pa.RecordBatch]:
+            """Answer the first of the waiting queries, those of one length."""
+            width, out = len(block[0][1]), []
+            part = [x for x in block[:BATCH] if len(x[1]) == width]
+            del block[: len(part)]
             if width not in graphs:
                 return
-            graph, raw, size, members = graphs[width]
-            q = np.stack([np.frombuffer(v, np.float32) for v in vectors]).astype(np.float64)
-            length = np.sqrt((q * q).sum(axis=1))
+            graph, first, raw, size, members = graphs[width]
+            q, length = _scaled([v for _, v in part])
             found, _ = graph.search((q / length[:, None]).astype(np.float32), beam)
-            for i, one in enumerate(ids):
+            for i, (one, _) in enumerate(part):
                 nodes = np.unique(found[i][found[i] >= 0])
-                score = (raw[nodes] * q[i]).sum(axis=1) / (size[nodes] * length[i])
-                best = sorted(((-s, m) for s, node in zip(score.tolist(), nodes.tolist()) for m in members[node] if m != one))[:k]
+                rows = np.concatenate([np.arange(a, b) for a, b in zip(first[nodes], first[nodes + 1])])
+                score = (raw[rows] * q[i]).sum(axis=1) / (size[rows] * length[i])
+                best = sorted(((-s, m) for s, row in zip(score.tolist(), rows.tolist()) for m in members[row] if m != one))[:k]
                 out.extend((one, m, -s) for s, m in best)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            block: list[tuple[int, bytes]] = []
-
-            def flush() -> None:
-                while block:
-                    width = len(block[0][1])
-                    part = [x for x in block[:BATCH] if len(x[1]) == width]
-                    ask([x[0] for x in part], [x[1] for x in part])
-                    del block[: len(part)]
-
-            for number, kind, node, entries, v, ids, edges in zip(*columns):
-                if number != shard:
-                    flush()
-                    shard, held, graphs = number, {}, {}
+        for batch in batches:  # nodes come first
+            for _, kind, node, entries, v, ids, edges in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if kind == 0:
                     held.setdefault(len(v), []).append((v, ids, edges, entries))
-                else:
-                    if held:
-                        load()
-                    block.append((node, v))
-            flush()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-                out.clear()
+                    continue
+                if held:
+                    load()
+                block.append((node, v))
+                if len(block) >= 2 * BATCH:
+                    yield from ask()
+        while block:
+            yield from ask()
 
     best = both.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
