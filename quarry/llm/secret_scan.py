@@ -5,6 +5,10 @@ any match must hold, for one of the query's alternatives, all its trigrams.
 Texts give postings for just the trigrams that some query names; intersecting
 postings leaves candidates, and only those are verified with the expression
 itself.  A rule without mandatory trigrams has no query and scans every text.
+
+Texts stay where they lie: candidates are numbers, and go to the texts as a
+broadcast where a count shows them to be few enough, else both sides meet in a
+shuffle in which only texts with a posting take part.
 """
 
 from __future__ import annotations
@@ -22,6 +26,13 @@ except ImportError:  # before 3.11
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
+#: Candidates (an id and a mask, 16 bytes) are broadcast up to this many.
+BROADCAST_ROWS = 1_000_000
+#: Matches of a text are added up in blocks of this many.
+BLOCK = 256
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -134,6 +145,10 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return best
 
 
+def _held(trigrams: list[str], text: str) -> Column:
+    return F.filter(F.array(*map(F.lit, trigrams)), lambda g: F.contains(F.lower(text), g))
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """The inverted index for the named trigrams: ``trigram, doc_id``, a row for each text that holds it (case folded)."""
     held = F.filter(F.array(*map(F.lit, trigrams)), lambda g: F.contains(F.col("_l"), g))
@@ -168,26 +183,34 @@ def _spans(rule: Rule, order: int, pattern: str) -> Column:
     """The rule's spans in ``_t`` by ``pattern``: array of (start, place in the rules, end), in code points.
 
     The pieces between matches and the matches themselves alternate, so their
-    lengths add up to positions.
+    lengths add up to positions: within blocks first, then over blocks, as an
+    array that grows by one costs its length each time.
     """
     pattern = pattern.replace("\\", "\\\\").replace("'", "\\'")
     plain = "cast(array() as array<int>)" if not rule.group else f"transform(regexp_extract_all(_t, '{pattern}', {rule.group}), x -> length(x))"
     whole = f"transform(regexp_extract_all(_t, '{pattern}', 0), x -> length(x))"
     gaps = f"transform(split(_t, '{pattern}', -1), x -> length(x))"
     kept = "x.`1`" if not rule.group else "x.`2`"
-    return F.expr(
-        f"filter(aggregate(arrays_zip({gaps}, {whole}, {plain}), "
-        "named_struct('at', 0, 'out', cast(array() as array<struct<start:int,kind:int,end:int,kept:int>>)), "
-        f"(a, x) -> if(x.`1` is null, a, named_struct('at', a.at + x.`0` + x.`1`, 'out', concat(a.out, array(named_struct('start', a.at + x.`0`, 'kind', {order}, 'end', a.at + x.`0` + x.`1`, 'kept', {kept}))))), "
-        f"a -> a.out), x -> x.kept >= {rule.least})"
+    spans = "array<struct<start:int,kind:int,end:int,kept:int>>"
+    block = (
+        f"aggregate(slice(z, b * {BLOCK} + 1, {BLOCK}), named_struct('at', 0, 'out', cast(array() as {spans})), "
+        f"(a, x) -> if(x.`1` is null, a, named_struct('at', a.at + x.`0` + x.`1`, 'out', concat(a.out, array(named_struct('start', a.at + x.`0`, 'kind', {order}, 'end', a.at + x.`0` + x.`1`, 'kept', {kept}))))))"
     )
+    blocks = f"transform(array(arrays_zip({gaps}, {whole}, {plain})), z -> transform(sequence(0, (size(z) - 1) div {BLOCK}), b -> {block}))[0]"
+    # each block with the ends of those before it
+    placed = (
+        f"aggregate({blocks}, named_struct('at', 0, 'out', cast(array() as array<struct<at:int,out:{spans}>>)), "
+        "(a, x) -> named_struct('at', a.at + x.at, 'out', concat(a.out, array(named_struct('at', a.at, 'out', x.out)))), a -> a.out)"
+    )
+    moved = "named_struct('start', y.start + x.at, 'kind', y.kind, 'end', y.end + x.at, 'kept', y.kept)"
+    return F.expr(f"filter(flatten(transform({placed}, x -> transform(x.out, y -> {moved}))), x -> x.kept >= {rule.least})")
 
 
 def _listed(spans: str, kinds: str) -> str:
     return f"array_join(transform({spans}, x -> concat({kinds}[x.kind], ':', x.start, ':', x.end)), ',')"
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = (), few: int = BROADCAST_ROWS) -> DataFrame:
     """``doc_id``, ``secrets`` (array of start, kind, end by start then kind) and the columns in ``keep``; a row for each row.
 
     ``secrets`` reach to each secret's end; :func:`digest` lists the matches of
@@ -196,11 +219,20 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...]
     Null and empty texts have no secret.  A null ``doc_id`` has no posting to
     look up, so its text is verified against all rules.  Rows that repeat an id
     share their candidates, which verification then decides text by text.
+    ``few`` is the number of candidates up to which they are broadcast.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"), *keep)
     found = candidates(source.select("doc_id", F.col("_t").alias("text")).where("doc_id is not null"), rules)
     indexed = sum(1 << i for i, r in enumerate(rules) if trigram_query(r.pattern))
-    rows = source.join(found.hint("shuffle_hash"), "doc_id", "left").withColumn("_r", F.expr(f"if(doc_id is null, {indexed}L, coalesce(rules, 0L))")).drop("rules")
+    found = materialize(found, "candidates")
+    if found.count() <= few:
+        rows = source.join(F.broadcast(found), "doc_id", "left")
+    else:
+        trigrams = sorted({g for r in rules for alternative in trigram_query(r.pattern) or [] for g in alternative})
+        any_ = F.size(_held(trigrams, "_t")) > 0
+        joined = source.where(any_ & F.col("doc_id").isNotNull()).join(found.hint("shuffle_hash"), "doc_id", "left")
+        rows = joined.unionByName(source.where(~any_ | F.col("doc_id").isNull()).withColumn("rules", F.lit(None).cast("long")))
+    rows = rows.withColumn("_r", F.expr(f"if(doc_id is null, {indexed}L, coalesce(rules, 0L))")).drop("rules")
     empty = "cast(array() as array<struct<start:int,kind:int,end:int,kept:int>>)"
     parts = []
     for i, r in enumerate(rules):
@@ -230,10 +262,22 @@ def digest(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(scanned: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
-    """:func:`scan`'s rows with every secret in ``text`` replaced by ``mask``; spans that overlap are masked as one."""
-    cut = (
-        "aggregate(secrets, named_struct('at', 0L, 'out', ''), (a, x) -> named_struct('at', greatest(a.at, x.end), "
-        f"'out', if(x.start >= a.at, concat(a.out, substring(text, cast(a.at + 1 as int), cast(x.start - a.at as int)), '{mask}'), a.out)), "
-        "a -> concat(a.out, substring(text, cast(a.at + 1 as int), length(text))))"
+    """:func:`scan`'s rows with every secret in ``text`` replaced by ``mask``; spans that overlap are masked as one.
+
+    Texts with many secrets are cut in blocks of spans first, then span by span
+    within the block's own text, so that no long text is gone through from its
+    start for each span.
+    """
+    gaps = "array<struct<a:bigint,b:bigint>>"  # what stays, before each mask
+    inner = (
+        f"aggregate(slice(secrets, n * {BLOCK} + 1, {BLOCK}), named_struct('at', o.at, 'gaps', cast(array() as {gaps})), "
+        "(i, x) -> named_struct('at', greatest(i.at, x.end), 'gaps', if(x.start >= i.at, concat(i.gaps, array(named_struct('a', i.at, 'b', x.start))), i.gaps)))"
+    )
+    outer = (
+        f"aggregate(sequence(0, (size(secrets) - 1) div {BLOCK}), named_struct('at', 0L, 'out', cast(array() as array<{gaps}>)), "
+        f"(o, n) -> transform(array({inner}), r -> named_struct('at', r.at, 'out', concat(o.out, array(r.gaps))))[0])"
     )
-    return scanned.withColumn("text", F.expr(f"if(size(secrets) = 0, text, {cut})"))
+    part = lambda text, a, n: f"substring({text}, cast({a} + 1 as int), cast({n} as int))"
+    block = f"transform(array({part('text', 'g[0].a', 'element_at(g, -1).b - g[0].a')}), t -> array_join(transform(g, y -> {part('t', 'y.a - g[0].a', 'y.b - y.a')}), '{mask}'))[0]"
+    whole = f"transform(array({outer}), o -> concat(array_join(transform(filter(o.out, g -> size(g) > 0), g -> {block}), '{mask}'), '{mask}', substring(text, cast(o.at + 1 as int), length(text))))[0]"
+    return scanned.withColumn("text", F.expr(f"if(size(secrets) = 0, text, {whole})"))
