@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches
+from .common import as_bytes, cut
 
 #: Phrases that stand for a license by themselves.
 BASE_PHRASES = {
@@ -39,12 +39,15 @@ class Notice:
     label: str
     text: str
     edits: int
+    whole: bool = False  # its ends must be words' ends, which a phrase this short needs
 
 
 #: Notices that the fuzzy search looks for by default.
 NOTICES = (
     Notice("gpl", "gnu general public license", 3),
     Notice("gpl", "licensed under the gnu general public license version", 5),
+    Notice("apache", "apache license", 2, True),
+    Notice("mit", "mit license", 1, True),
     Notice("lgpl", "gnu lesser general public license", 3),
     Notice("agpl", "gnu affero general public license", 3),
     Notice("apache", "licensed under the apache license version 2 0", 4),
@@ -79,15 +82,18 @@ class Scanner:
         self.notices = notices
         self.phrases = [(f" {p} ".encode(), label, p.count(" ") + 1) for p, label in phrases.items()]
         self.seeds = [[(at, piece.encode()) for at, piece in seeds(n)] for n in notices]
-        self.verify = [regex.compile(rf"(?b)(?:{regex.escape(n.text)}){{e<={n.edits}}}") for n in notices]
+        # (?e): the first match of a place is bettered before the search goes on behind it
+        bounds = [("(?<= )", "(?= )") if n.whole else ("", "") for n in notices]
+        self.verify = [regex.compile(rf"(?e){a}(?:{regex.escape(n.text)}){{e<={n.edits}}}{b}") for n, (a, b) in zip(notices, bounds)]
 
     def exact(self, line: bytes) -> list[tuple[int, int, str]]:
         """(start word, end word, label) of every place of a phrase."""
         found = []
         for phrase, label, size in self.phrases:
-            at = line.find(phrase)
+            at, counted, word = line.find(phrase), 0, -1
             while at >= 0:
-                word = line.count(b" ", 0, at + 1) - 1
+                word += line.count(b" ", counted, at + 1)
+                counted = at + 1
                 found.append((word, word + size, label))
                 at = line.find(phrase, at + 1)
         return found
@@ -96,9 +102,8 @@ class Scanner:
         """(start, end, label, edits) in characters of the normalised line.
 
         Every occurrence of every seed opens a window that holds the whole
-        notice with its edits; windows that overlap are verified as one.  The best
-        match of a window is taken first, then what is before and behind it is
-        searched in the same way, so no occurrence hides another.
+        notice with its edits; windows that overlap are verified as one, from
+        left to right, so every occurrence is met and the work is linear.
         """
         found = []
         for notice, pieces, verify in zip(self.notices, self.seeds, self.verify):
@@ -108,28 +113,20 @@ class Scanner:
                 while hit >= 0:
                     windows.append((max(0, hit - at - 4 * notice.edits - 1), hit - at + spread + 4 * notice.edits + 1))
                     hit = line.find(piece, hit + 1)
-            if not windows:
-                continue
             windows.sort()
-            texts = [piece.decode() for _, piece in pieces]
-            merged = [list(windows[0])]
-            for a, b in windows[1:]:
-                if a <= merged[-1][1]:
+            merged: list[list[int]] = []
+            for a, b in windows:
+                if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
                     merged.append([a, b])
+            before = counted = 0  # characters before a byte
             for a, b in merged:
                 while a and line[a] & 0xC0 == 0x80:  # to a character's first byte
                     a -= 1
-                window, matches = line[a:b].decode(errors="ignore"), []
-                parts = [(0, len(window))]
-                while parts:
-                    start, end = parts.pop()
-                    if any(window.find(piece, start, end) >= 0 for piece in texts) and (m := verify.search(window, start, end)):
-                        matches.append((m.start(), m.end(), notice.label, sum(m.fuzzy_counts)))
-                        parts += (start, m.start()), (m.end(), end)
-                before = len(line[:a].decode()) if matches else 0
-                found.extend((before + x, before + y, *rest) for x, y, *rest in sorted(matches))
+                before, counted = before + len(line[counted:a].decode()), a
+                window = line[a:b].decode(errors="ignore")
+                found.extend((before + m.start(), before + m.end(), notice.label, sum(m.fuzzy_counts)) for m in verify.finditer(window))
         return found
 
 
@@ -140,12 +137,11 @@ def scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, phrases: dict[s
     last_word, base_labels, labels, score, spans``; ``spans`` is an array of
     ``(label, kind, start, end, edits)`` where base spans count words and fuzzy
     spans count characters of the normalised line.  ``score`` is 1 for an exact
-    phrase, else one less the best notice's share of edits, else 0.
+    phrase, else one less the share of edits in the best notice's span, else 0.
 
     A null or empty text gives zero words, null first and last word, empty
     labels and score 0.  Null and repeated ids pass through, a row for a row.
     """
-    small_batches(docs.sparkSession)
     scanner = []
     kinds = pa.list_(pa.struct([("label", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", kinds)])
@@ -153,15 +149,14 @@ def scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, phrases: dict[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not scanner:
             scanner.append(Scanner(notices, phrases))
-        for batch in batches:
+        for batch in cut(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                 words = normalize(text or b"")
                 line = b" " + b" ".join(words) + b" "
                 exact, fuzzy = scanner[0].exact(line), scanner[0].fuzzy(line)
                 base = sorted({x[2] for x in exact})
-                lengths = {n.label: len(n.text) for n in notices}
-                score = 1.0 if base else max([1 - e / lengths[label] for _, _, label, e in fuzzy], default=0.0)
+                score = 1.0 if base else max([1 - e / (y - x) for x, y, _, e in fuzzy], default=0.0)
                 rows.append((
                     doc_id, len(words), len(exact), min((x[0] for x in exact), default=None), max((x[0] for x in exact), default=None),
                     ",".join(base), ",".join(sorted({*base, *(x[2] for x in fuzzy)})), score,
