@@ -8,11 +8,15 @@ A pair at distance one has one half of odd and one of even parity; only odd
 halves need flip a bit, which meets every even half at its own value and saves
 half the variants.
 
-A variant that many fingerprints share (a large group of near copies) is
-joined inside its task by the 64-bit ball of the same kind, so the work stays
-linear in the group, and a task sends on a spanning forest of its links, never
-all pairs.  Components are then found by alternating large-star and small-star
-steps over the links of distinct fingerprints.
+A half that many fingerprints share is dealt out over tasks by the same rule
+once more: of the other half's two quarters, one agrees within one bit.  What
+then still meets at one variant (at most the 65,536 values of the last quarter
+and their neighbours) is joined inside its task by the 64-bit ball of the same
+kind, so the work stays linear in the group, and a task sends on a spanning
+forest of its links, never all pairs.  Components are then found by alternating
+large-star and small-star steps over the links of distinct fingerprints; a star
+with many rays is a skewed join without an aggregate above it, which adaptive
+execution divides.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, gather, materialize, partitions, small_batches
+from .common import as_bytes, cut, gather, materialize, partitions
 
 SEED = 42
 #: Colliding fingerprints of a task are compared directly up to this many per variant.
 DIRECT = 512
+#: A half is dealt out by quarters if more fingerprints hold it than this, and than a ten-thousandth of all: at most 20,000 halves.
+HOT, HOT_SHARE = 4096, 10_000
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
@@ -53,10 +59,9 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, size: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, fp`` (the fingerprint's 64 bits as a signed long) of every row, and the columns in ``keep``."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches):
             texts = as_bytes(batch.column(1))
             found = np.fromiter((fingerprint(x or b"", size) for x in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *keep])
@@ -131,11 +136,30 @@ def ball_links(fps: np.ndarray, rows: np.ndarray, forest: Forest, radius: int =
             lag += 1
 
 
-def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
+def _by_quarters(rows: DataFrame, distinct: DataFrame, hot: int) -> DataFrame:
+    """``rows (key, flip, fp, node)`` with the keys that many fingerprints share dealt out by the other half's quarters."""
+    halves = distinct.select(F.explode(F.expr("array(shiftrightunsigned(fp, 32), 4294967296L + (fp & 4294967295L))")).alias("key"))
+    halves = halves.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key")
+    if halves.isEmpty():
+        return rows
+    # rows whose half is one bit away flip to the key, and what flips away from it meets others at its neighbours
+    reached = halves.select(F.explode(F.expr("if(bit_count(key & 4294967295L) % 2 = 1, concat(array(key), transform(sequence(0, 31), b -> key ^ shiftleft(1L, b))), array(key))")).alias("key"))
+    reached = reached.distinct().withColumn("hot", F.lit(True))
+    marked = rows.join(F.broadcast(reached), "key", "left")  # 33 rows for each of at most 2 * HOT_SHARE halves
+    dealt = F.expr(
+        "flatten(transform(array(shiftrightunsigned(if(key >= 4294967296L, shiftrightunsigned(fp, 32), fp & 4294967295L), 16), if(key >= 4294967296L, shiftrightunsigned(fp, 32), fp) & 65535L), (v, q) -> "
+        "transform(if(bit_count(v) % 2 = 1, concat(array(v), transform(sequence(0, 15), b -> v ^ shiftleft(1L, b))), array(v)), x -> shiftleft(1L, 62) | shiftleft(key, 17) | shiftleft(cast(q as long), 16) | x)))"
+    )
+    return marked.select(F.explode(F.when(F.col("hot"), dealt).otherwise(F.array("key"))).alias("key"), "flip", "fp", "node")
+
+
+def links(distinct: DataFrame, radius: int = 3, hot: int | None = None) -> DataFrame:
     """``a, b``: links that connect all distinct fingerprints within the radius.
 
     ``distinct`` holds ``fp, node`` with unique ``fp``.  Not every linked pair is
-    listed: what is left out is reached through the links of a forest.
+    listed: what is left out is reached through the links of a forest.  ``hot``
+    is the number of fingerprints beyond which a shared half is dealt out; it
+    changes no component.
     """
     if radius != 3:
         raise ValueError("the halves and parities used here hold for three bits")
@@ -146,6 +170,7 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
         "if(bit_count(v) % 2 = 1, transform(sequence(0, 31), b -> named_struct('key', half * 4294967296L + (v ^ shiftleft(1L, b)), 'flip', true)), array()))))"
     )
     rows = distinct.select("fp", "node", F.explode(variant).alias("v")).select(F.col("v.key").alias("key"), F.col("v.flip").alias("flip"), "fp", "node")
+    rows = _by_quarters(rows, distinct, max(HOT, distinct.count() // HOT_SHARE) if hot is None else hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = gather(batches)
@@ -199,7 +224,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        links = materialize(small, "links")
+        links = materialize(small, "links", over=links)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
