@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize
 from .words import encode, groups
 
 #: Labelled rows used for fitting, at most.
@@ -174,7 +174,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     null labels are skipped.  Without rows, or with rows of one label only, the
     model scores that label's share (0.5 if there is none) for every text.
     """
-    small_batches(docs.sparkSession, 512)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     if held_out:
         known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
@@ -184,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
         .join(F.broadcast(known), "doc_id")  # at most `sample` rows of two numbers
         .select("y", "text", "doc_id")
     )
+    rows = materialize(rows, "sample")  # read twice below; the corpus once
     kinds = "kind int, bucket int, doc_id long, y int, v array<float>"
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +231,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, score`` and the columns in ``keep`` of every row, from its whole text (null: empty)."""
-    small_batches(docs.sparkSession, 512)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(k) for k in keep if k not in ("doc_id", "text")])
     out = ["doc_id", "score", *[k for k in keep if k not in ("doc_id",)]]
     fields = {f.name: f.dataType.simpleString() for f in source.schema} | {"score": "double"}
