@@ -86,6 +86,7 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: int = 17, key: str = "
     replicated like the rest of its source, null ids share one uniform number.
     Repeated rows are replicated each.  A named source without any character
     cannot be given a share and is treated as other.  An empty table gives no row.
+    Input columns named as the three added ones are replaced by them.
     """
     rate, other = rates(docs, weights, key, size, total)
     return (
