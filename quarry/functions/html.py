@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..rules.pages import KNOWN, ORDER
 from .text import col, filled
 
 
@@ -51,19 +52,19 @@ def og_type(html: str | Column) -> Column:
 
 
 def html_language(html: str | Column, header: str | Column | None = None) -> Column:
-    """The page's declared language (else the header's): lower case, first subtag."""
-    found = F.regexp_extract(filled(html), "(?is)<html[^>]+lang=[\"']([^\"']+)[\"']", 1)
-    if header is not None:
-        found = F.coalesce(F.nullif(found, F.lit("")), filled(header))
-    return F.substring_index(F.regexp_replace(F.lower(F.trim(found)), "_", "-"), "-", 1)
+    """The page's declared language (else the header's): lower case, hyphens, the first of several; shorter than two letters is none."""
+    first = lambda c: F.regexp_extract(F.replace(F.lower(F.trim(c)), F.lit("_"), F.lit("-")), "^[^,;\\s]*", 0)
+    told = lambda c: F.when(F.octet_length(first(c)) >= 2, first(c))
+    page = told(F.regexp_extract(filled(html), "(?is)<html[^>]*\\blang\\s*=\\s*[\"']([^\"']+)[\"']", 1))
+    return F.coalesce(page, *([told(filled(header))] if header is not None else []), F.lit(""))
 
 
 def hrefs(html: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(filled(html)), F.lit("(?s)href=[\"']([^\"']+)[\"']"), 1)
 
 
-def page_paths(html: str | Column, domain: str | Column, known: list[str] | None = None, order: list[list[str]] = (), most: int = 10) -> Column:
-    """Internal paths a page links to, those named ``known`` only (None: all), first classes of ``order`` first.
+def page_paths(html: str | Column, domain: str | Column, known: list[str] | None = KNOWN, order: list[list[str]] = ORDER, most: int = 10) -> Column:
+    """Internal paths a page links to, those named ``known`` or below one (None: all), first kinds of ``order`` first.
 
     Absolute links count where they lead to the same domain.  Query, fragment
     and trailing slash go; copies go.
@@ -71,13 +72,14 @@ def page_paths(html: str | Column, domain: str | Column, known: list[str] | None
     domain = col(domain)
     base = F.concat(F.lit("://"), domain)
     links = F.filter(hrefs(html), lambda h: ~h.rlike("^(#|mailto:|tel:|javascript:|data:|//)"))
-    own = F.transform(links, lambda h: F.when(h.rlike("^https?://"), F.when(F.regexp_replace(h, "^https?://(www\\.)?", "://").startswith(base), F.regexp_extract(h, "^https?://[^/?#]*(.*)$", 1))).when(h.startswith("/"), h).otherwise(F.concat(F.lit("/"), h)))
+    same = lambda h: F.regexp_replace(h, "^https?://(www\\.)?", "://").startswith(base)
+    own = F.transform(links, lambda h: F.when(h.startswith("/"), h).when(h.rlike("^https?://"), F.when(same(h), F.regexp_extract(h, "^https?://[^/?#]*(.*)$", 1))).when(~F.contains(h, F.lit(":")), F.concat(F.lit("/"), h)))
     clean = F.transform(F.filter(own, lambda p: p.isNotNull()), lambda p: F.regexp_replace(F.regexp_replace(p, "[?#].*$", ""), "/+$", ""))
     clean = F.array_distinct(F.filter(clean, lambda p: p != ""))
     if known is not None:
-        listed = F.array(*map(F.lit, known))
-        clean = F.filter(clean, lambda p: F.exists(listed, lambda k: (p == k) | p.startswith(F.concat(k, F.lit("/")))))
-    rank = lambda p: F.coalesce(*[F.when(F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(p, n)), F.lit(i)) for i, names in enumerate(order)], F.lit(len(order)))
+        exact, below = F.array(*map(F.lit, known)), F.array(*[F.lit(k + "/") for k in known])
+        clean = F.filter(clean, lambda p: F.array_contains(exact, p) | F.exists(below, lambda k: p.startswith(k)))
+    rank = lambda p: F.coalesce(*[F.when(p.isin(names), F.lit(i)) for i, names in enumerate(order)], F.lit(len(order)))
     ranked = F.array_sort(F.transform(clean, lambda p, i: F.struct(rank(p).alias("r"), i.alias("i"), p.alias("p"))))
     return F.slice(F.transform(ranked, lambda x: x["p"]), 1, most)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .html import html_language
+from .html import html_language, visible_text
 from .text import col, filled
 
 #: Frequent short words of each language.
@@ -24,6 +24,15 @@ FUNCTION_WORDS = {
     "sv": "och det är en som att på för med inte av till".split(),
     "tr": "bir ve bu için da de ne çok ama gibi daha olan".split(),
 }
+#: Codes of three letters and of two; other codes stay as they are.
+TWO_LETTERS = dict(
+    x.split(":")
+    for x in (
+        "eng:en fra:fr deu:de spa:es ita:it por:pt nld:nl rus:ru jpn:ja zho:zh kor:ko ara:ar arb:ar hin:hi tur:tr pol:pl ukr:uk vie:vi tha:th ces:cs ell:el hun:hu ron:ro bul:bg hrv:hr srp:sr slk:sk slv:sl dan:da fin:fi nor:no "
+        "nob:nb nno:nn swe:sv cat:ca eus:eu glg:gl ind:id msa:ms tgl:tl heb:he fas:fa urd:ur ben:bn tam:ta tel:te mar:mr guj:gu kan:kn mal:ml pan:pa mya:my khm:km lao:lo kat:ka hye:hy lit:lt lav:lv est:et sqi:sq mkd:mk bos:bs "
+        "isl:is gle:ga cym:cy afr:af swa:sw amh:am nep:ne sin:si mon:mn kaz:kk uzb:uz aze:az bel:be tat:tt"
+    ).split()
+)
 #: Texts shorter than this are not judged.
 LEAST = 100
 
@@ -40,6 +49,17 @@ def by_words(text: str | Column, least_share: float = 0.08) -> Column:
     return F.when((F.length(lower) >= LEAST) & (best["n"] >= F.size(words) * least_share) & (best["n"] > 0), best["lang"])
 
 
+def two_letters(code: str | Column) -> Column:
+    """A language's code of three letters as one of two, where it has one."""
+    pairs = [F.lit(x) for kv in TWO_LETTERS.items() for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), col(code)), col(code))
+
+
+def judged_text(title: str | Column, description: str | Column, html: str | Column) -> Column:
+    """What a page's language is judged by: title, description, and the first 500 visible characters."""
+    return F.array_join(F.filter(F.array(filled(title), filled(description), visible_text(html)), lambda x: x != ""), " ")
+
+
 def language(text: str | Column, html: str | Column, header: str | Column | None = None) -> Column:
     """By its words, else as declared by the page, else by the header; empty if unknown."""
     return F.coalesce(by_words(text), html_language(html, header))

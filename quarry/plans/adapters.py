@@ -83,4 +83,4 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGE_ROWS = """page_rows AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS domain, html,
-  split_part(replace(lower(trim(regexp_extract(html, '(?is)<html[^>]+lang=["'']([^"'']+)["'']', 1))), '_', '-'), '-', 1) AS http_language FROM pages)"""
+  regexp_extract(replace(lower(trim(regexp_extract(html, '(?is)<html[^>]*\\blang\\s*=\\s*["'']([^"'']+)["'']', 1))), '_', '-'), '^[^,;\\s]*') AS http_language FROM pages)"""

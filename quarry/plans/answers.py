@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import domains, format, html, text
-from ..operators import catalog, classify, current, detect, enrich, grades, revenue
+from ..functions import domains, format, html, language, text
+from ..operators import catalog, classify, current, detect, dns_score, enrich, grades, revenue
 from ..sources import sinks
 from .adapters import EVENT_LOG, PAGE_ROWS, WIDE, event_log, page_rows, table, wide
 from .book import add
@@ -407,10 +407,23 @@ add(
 )
 add(
     "page_paths_known",
-    lambda s, d: page_rows(s, d).select("page_id", text.joined(html.page_paths(F.lit('<a href="/Pricing/x?a=1"><a href="about"><a href="https://www.shop.com/contact/"><a href="https://else.org/pricing"><a href="mailto:x"><a href="/pricingx">'), F.lit("shop.com"), ["/pricing", "/about", "/contact"], [["contact"], ["pricing"]])).alias("paths")),
-    "SELECT page_id, '/contact|/pricing/x|/about' AS paths FROM page_rows",
+    lambda s, d: page_rows(s, d).select("page_id", text.joined(html.page_paths(F.lit('<a href="/Docs/x?a=1"><a href="about"><a href="login"><a href="https://www.shop.com/contact/"><a href="https://else.org/pricing"><a href="mailto:x"><a href="/pricingx"><a href="/preise/"><a href="x:y"><a href="/plan/pro#a"><a href="/signup">'), F.lit("shop.com"))).alias("paths")),
+    "SELECT page_id, '/preise|/contact|/signup|/login|/docs/x|/plan/pro' AS paths FROM page_rows",
     PAGE_ROWS,
 )
+_LANGS = ['<html class="x" lang="fr-CA">', "<html lang='EN_us, de'>", '<html lang="x">', "<html>", '<html data-lang = "pt" lang = "it">']
+add(
+    "declared_languages",
+    lambda s, d: table(s, d, "customer").select("c_custkey", html.html_language(_pick("c_custkey", _LANGS), _pick("c_custkey", ["", "", "NL;q=1", "", ""])).alias("language"), language.two_letters(_pick("c_custkey", ["eng", "nob", "zz", "und"])).alias("code")),
+    f"SELECT c_custkey, {_case('c_custkey', ['fr-ca', 'en-us', 'nl', '', 'it'])} AS language, {_case('c_custkey', ['en', 'nb', 'zz', 'und'])} AS code FROM customer",
+)
+_NAMES = ["x.cloudflare.net", "shops.myshopify.com", "", "a.akamai.net|b.salesforce.com|c.okta.com", "x.000webhost.com"]
+add(
+    "dns_scores",
+    lambda s, d: table(s, d, "customer").select("c_custkey", _pick("c_custkey", _NAMES).alias("dns_cname"), _pick("c_custkey", ["", "::1"]).alias("dns_aaaa"), _pick("c_custkey", ["1:a|2:b|3:google", "1:a|2:b", "5:google"]).alias("dns_mx"), F.lit("").alias("dns_txt")).select("c_custkey", dns_score.dns_scores([("google", "email", 5), ("google", "budget", 2)]).alias("x")).select("c_custkey", "x.web", "x.email", "x.budget", "x.security"),
+    """SELECT c_custkey, CAST(greatest(0, least(10, [2, 4, 0, 9, -1][c_custkey % 5 + 1] + c_custkey % 2)) AS INTEGER) AS web, CAST([7, 1, 5][c_custkey % 3 + 1] AS INTEGER) AS email,
+    CAST(greatest(0, least(10, [2, 4, 0, 14, -2][c_custkey % 5 + 1] + [3, 0, 2][c_custkey % 3 + 1])) AS INTEGER) AS budget, CAST(greatest(0, least(10, [2, 0, 0, 4, 0][c_custkey % 5 + 1] + c_custkey % 2)) AS INTEGER) AS security FROM customer""",
+)
 add(
     "schema_types",
     lambda s, d: page_rows(s, d).select("page_id", _schema(F.concat(F.lit('<script type="application/ld+json">'), _pick("page_id", ['{"@graph":[{"@type":"WebSite"},{"@type":["Organization","Dentist"]}]}', '[{"@type":"Store"},{"@type":"Product"}]', "{bad", '{"@type":"Unknown"}']), F.lit("</script>"), "html")).alias("kind")),

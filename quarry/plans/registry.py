@@ -167,9 +167,9 @@ add("html_text", lambda s, d: page_rows(s, d).select("page_id", html.visible_tex
 add("html_lang", lambda s, d: page_rows(s, d).groupBy("http_language").agg(F.count("*").alias("n")), "SELECT http_language, count(*) AS n FROM page_rows GROUP BY 1", PAGE_ROWS)
 add(
     "html_hrefs",
-    lambda s, d: page_rows(s, d).select("page_id", text.joined(html.page_paths("html", "domain", None, [["/t", "/e"], ["/a"]])).alias("paths")),
+    lambda s, d: page_rows(s, d).select("page_id", text.joined(html.page_paths("html", "domain", None, [["/the", "/to"], ["/and"]])).alias("paths")),
     """SELECT page_id, coalesce(string_agg(p, '|' ORDER BY r, i), '') AS paths FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY r, i) AS n FROM (
-    SELECT page_id, p, min(i) AS i, CASE WHEN contains(p, '/t') OR contains(p, '/e') THEN 0 WHEN contains(p, '/a') THEN 1 ELSE 2 END AS r FROM (
+    SELECT page_id, p, min(i) AS i, CASE WHEN p IN ('/the', '/to') THEN 0 WHEN p = '/and' THEN 1 ELSE 2 END AS r FROM (
     SELECT page_id, regexp_replace(regexp_replace(h, '[?#].*$', ''), '/+$', '') AS p, i FROM (SELECT page_id, unnest(l) AS h, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(lower(html), '(?s)href=["'']([^"'']+)["'']', 1) AS l FROM page_rows)))
     WHERE p <> '' GROUP BY page_id, p)) WHERE n <= 10 GROUP BY page_id""",
     PAGE_ROWS,

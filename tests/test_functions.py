@@ -83,13 +83,14 @@ PAGE = (
 
 def test_html_parts(spark):
     got = one(spark, PAGE).select(html.title("x"), html.h1("x"), html.meta_description("x"), html.nav_text("x"), html.visible_text("x"), html.og_type("x"), html.html_language("x")).first()
-    assert tuple(got) == ("My &amp; page", "A big head", "What it is", "Hdr", "My & page Hdr A big head Text here P A C E M T N".replace("My & page", "My page"), "product", "fr")
+    assert tuple(got) == ("My &amp; page", "A big head", "What it is", "Hdr", "My & page Hdr A big head Text here P A C E M T N".replace("My & page", "My page"), "product", "fr-ca")
     assert tuple(one(spark, None).select(html.title("x"), html.h1("x"), html.nav_text("x"), html.visible_text("x")).first()) == ("", "", "", "")
 
 
 def test_page_paths(spark):
-    assert run(spark, html.page_paths("x", F.lit("shop.com")), PAGE) == ["/x", "/pricing", "/about", "/contact/us"]
-    assert run(spark, html.page_paths("x", F.lit("shop.com"), ["/contact", "/pricing"], [["contact"], ["pricing"]]), PAGE) == ["/contact/us", "/pricing"]
+    assert run(spark, html.page_paths("x", F.lit("shop.com"), None, []), PAGE) == ["/x", "/pricing", "/about", "/contact/us"]
+    assert run(spark, html.page_paths("x", F.lit("shop.com"), ["/contact", "/pricing"], [["/contact/us"], ["/pricing"]]), PAGE) == ["/contact/us", "/pricing"]
+    assert run(spark, html.page_paths("x", F.lit("shop.com")), PAGE) == ["/pricing", "/contact/us"]
 
 
 def hide(address, key=0x42):
