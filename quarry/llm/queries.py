@@ -27,7 +27,7 @@ def op2_ann_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept", "spans")
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), texts=False)
 
 
 def tokenizer() -> str:
