@@ -12,7 +12,9 @@ slot a piece gets, so assignment is one scan.
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, small_batches
+from .common import materialize, partitions
 from .words import encode, groups
 
 CAPACITY = 4096
@@ -45,15 +47,22 @@ class WordTokenizer:
     """Token ids of single words (white space separates words in this vocabulary), as packed unsigned 32-bit ids.
 
     A word of plain characters is cut by the vocabulary's own pattern and only
-    pieces not met before are run through the model; any other word goes
-    through the whole tokenizer.
+    pieces not met before are run through the model; any other word, and one
+    that holds a special token's text, goes through the whole tokenizer as it
+    opens.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # a special token stands for itself wherever its text occurs; none holds white space
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(c.isspace() for t in special for c in t):
+            raise ValueError("words are encoded one by one, so a special token may not hold white space")
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.IGNORECASE)
+        self.opening = os.path.commonprefix([t.lower() for t in special]) if special else "\0"
+        self.tokenize = self.tokenizer.model.tokenize
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -64,7 +73,8 @@ class WordTokenizer:
         found = self.pieces.get(text)
         if found is None:
             shown = text if text.isascii() else "".join(map(self.alphabet.__getitem__, text.encode()))
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+            ids = [t.id for t in self.tokenize(shown)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
             if len(text) <= 32:
                 if len(self.pieces) >= CACHE:
                     self.pieces.clear()
@@ -74,11 +84,15 @@ class WordTokenizer:
     def word(self, raw: bytes) -> bytes:
         found = self.words.get(raw)
         if found is None:
-            text = raw.decode()
-            if _SAFE.fullmatch(text):
-                found = b"".join(map(self.piece, _PIECES.findall(text.lower())))
+            if raw.isalpha():  # plain letters are one piece
+                found = self.piece(raw.lower().decode())
             else:
-                found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                text = raw.decode()
+                low = text.lower()
+                if _SAFE.fullmatch(text) and not (self.opening in low and self.special.search(text)):
+                    found = b"".join(map(self.piece, _PIECES.findall(low)))
+                else:
+                    found = struct.pack(f"<{len(ids)}I", *ids) if (ids := self.tokenizer.encode(text, add_special_tokens=False).ids) else b""
             if len(raw) <= 32:
                 if len(self.words) >= CACHE:
                     self.words.clear()
@@ -88,7 +102,6 @@ class WordTokenizer:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: the documents' token ids, cut at multiples of ``capacity``."""
-    small_batches(docs.sparkSession, 2000)
     made: list[WordTokenizer] = []
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
@@ -97,7 +110,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             made.append(WordTokenizer(tokenizer))
         for table in groups(batches):
             codes, offsets, distinct = encode(table.column(1))
-            ids = [made[0].word(w) for w in distinct] + [np.array([end], "<u4").tobytes()]
+            known, word = made[0].words.get, made[0].word
+            ids = [known(w) or word(w) for w in distinct] + [np.array([end], "<u4").tobytes()]
             codes = np.insert(codes, offsets[1:], len(distinct))  # the end token closes each document
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             starts, values = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
@@ -209,7 +223,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset``.  A null or empty text has the end token alone.  Repeated ids and
-    null ids are documents of their own; an empty table gives no row.
+    null ids are documents of their own; an empty table gives no row.  Pieces
+    are ranked by all their columns, so those that tie are equal and a stage
+    that runs again places them alike.
     """
     spark = docs.sparkSession
     cut = materialize(pieces(docs, tokenizer, capacity, end), "pieces")
@@ -231,10 +247,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
 
     # ranks within a class: counted in cells of class and hash, so that no class meets in one task
     cells = max(partitions(spark), int(demand.sum()) // 50_000 + 1)
-    ranked = cut.withColumn("_c", F.ceil(F.col("length") / quantum).cast("int")).withColumn("_s", F.pmod(F.xxhash64("doc_id", "start"), F.lit(cells)))
+    ranked = cut.withColumn("_c", F.ceil(F.col("length") / quantum).cast("int")).withColumn("_s", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(cells)))
     before = ranked.groupBy("_c", "_s").agg(F.count("*").alias("n"))
     before = before.withColumn("_at", F.sum("n").over(Window.partitionBy("_c").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
-    inner = F.row_number().over(Window.partitionBy("_c", "_s").orderBy(F.desc("length"), "doc_id", "start"))
+    inner = F.row_number().over(Window.partitionBy("_c", "_s").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32", "doc_tokens"))
     ranked = ranked.withColumn("_i", inner).join(before, ["_c", "_s"]).withColumn("_rank", F.coalesce("_at", F.lit(0)) + F.col("_i") - 1).drop("_s", "_i", "_at")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
