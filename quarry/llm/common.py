@@ -99,11 +99,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound Arrow batches, so that a run of very long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def cut(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``size`` bytes in a column of texts; a longer text stands alone.
 

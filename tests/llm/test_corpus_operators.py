@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql.functions import col as spark_col
+
 from quarry.llm import ann_graph, packing, quality_classifier, simhash, suffix_dedup
 from quarry.llm.queries import tokenizer
 
@@ -66,8 +68,28 @@ def test_links_between_fingerprints(spark):
     prints = set(centers) | {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for c in centers for _ in range(12)}
     pairs = list(enumerate(sorted(prints)))
     table = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, i) for i, f in pairs], "fp long, node long")
-    got = {r.node: r.component for r in simhash.components(simhash.links(table)).collect()}
-    assert {i: got.get(i, i) for i, _ in pairs} == brute_components(pairs)
+    for hot in (None, 0, 2, 20):  # how many fingerprints a half may have before it is dealt out changes nothing
+        got = {r.node: r.component for r in simhash.components(simhash.links(table, hot=hot)).collect()}
+        assert {i: got.get(i, i) for i, _ in pairs} == brute_components(pairs)
+
+
+def test_a_hot_half_is_dealt_out(spark):
+    rng = random.Random(9)
+    half = 0x9E3779B9 << 32
+    prints = sorted({half | rng.getrandbits(32) for _ in range(400)} | {half ^ (1 << rng.randrange(32, 64)) | rng.getrandbits(8) for _ in range(200)})
+    pairs = list(enumerate(prints))
+    table = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, i) for i, f in pairs], "fp long, node long")
+    want = brute_components(pairs)
+    for hot in (None, 50):
+        got = {r.node: r.component for r in simhash.components(simhash.links(table, hot=hot)).collect()}
+        assert {i: got.get(i, i) for i, _ in pairs} == want
+
+
+def test_components_through_rows_without_an_id(spark):
+    prints = spark.createDataFrame([(1, 0b0), (None, 0b111), (2, 0b111111), (3, 0b111111 << 40)], "doc_id long, fp long")
+    found = simhash.groups(prints)
+    named = {r.id: r.component_fp for r in found.collect()}
+    assert named[1] == named[2] == named[None] == 0 and named[3] != 0
 
 
 def test_large_buckets_are_joined_by_balls():
@@ -120,7 +142,7 @@ def test_suffix_array():
     assert sorted(order.tolist()) == list(range(5000)) and all(big[a : a + 40].tolist() <= big[b : b + 40].tolist() for a, b in zip(order[:300], order[1:301]))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"segment": 300, "large": 2, "chunk": 3000}])
+@pytest.mark.parametrize("sizes", [{}, {"segment": 300, "large": 2, "chunk": 3000}, {"large": 12}])
 def test_suffix_dedup_matches_brute_force(spark, docs, sizes):
     rng = random.Random(7)
     base = [r.text for r in docs.limit(40).collect()]
@@ -138,6 +160,23 @@ def test_suffix_dedup_matches_brute_force(spark, docs, sizes):
     assert got == brute_dedup(rows)
 
 
+def test_a_hot_gram_is_dealt_out(spark):
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    noise = lambda n: letters[rng.integers(0, 27, n)].tobytes().decode()
+    line = noise(95)  # shorter than a string, so that it is never removed by itself
+    n = 100_000
+    rows = frame(spark, [(i, noise(40) + line + noise(40)) for i in range(n)]).select(spark_col("doc_id").alias("doc"), "text").repartition(8).cache()
+    hot = suffix_dedup.hot_keys(rows, 100, 40, 1 << 20, 1000)
+    assert len(hot)
+    scan = lambda keys: rows.mapInArrow(suffix_dedup._scan(100, 40, 1 << 20, keys), suffix_dedup._FOUND).where("shiftright(place, 9) & 127 > 0").groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert scan(np.empty(0, np.uint64)) > 0.9 * n
+    assert scan(hot) <= 5000  # that many strings share a byte and the line beside it
+    part = rows.where("doc < 300").withColumnRenamed("doc", "doc_id")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(part, large=20).collect()}
+    assert got == brute_dedup([(r.doc_id, r.text) for r in part.orderBy("doc_id").collect()])
+
+
 def test_suffix_dedup_of_odd_rows(spark):
     long = "0123456789" * 30
     rows = [(None, long), (None, None), (5, long), (5, long), (5, "x" * 99), (6, "")]
@@ -150,9 +189,9 @@ def test_suffix_dedup_of_odd_rows(spark):
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(tokenizer())
-    tok.encode_special_tokens = True
-    extra = frame(spark, [(10_000, None), (10_001, ""), (10_002, "İ ﬁne ① naïvé \x1c x y 日本 <|endoftext|> it's"), (10_003, "word " * 20_000), (10_003, "word " * 20_000)])
+    tok = Tokenizer.from_file(tokenizer())  # as it opens
+    special = ["a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|>it's<|endoftext|>", "<|endof text|>", "<|ENDOFTEXT|> <|startoftext|>\n<|endoftext|>", "é<|endoftext|>\u2003x <|endoftext|", "x" * 50 + "<|endoftext|>" + "é" * 40]
+    extra = frame(spark, [(10_000, None), (10_001, ""), (10_002, "İ ﬁne ① naïvé \x1c x y 日本 <|endoftext|> it's"), (10_003, "word " * 20_000), (10_003, "word " * 20_000), *enumerate(special, 10_010)])
     rows = docs.select("doc_id", "text").unionByName(extra.select("doc_id", "text"))
     ids = {r.doc_id: np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4") for r in rows.collect()}
     out = packing.pack(rows, tokenizer()).collect()
@@ -170,6 +209,19 @@ def test_packing_round_trip(spark, docs):
     assert packing.pack(frame(spark, []), tokenizer()).isEmpty()
 
 
+def test_packing_of_rows_that_share_an_id(spark):
+    # of one id and as many tokens: only their ids tell the texts apart
+    rows = frame(spark, [(1, f"{a} {b}") for a in ("cat", "dog", "sun", "sea") for b in ("red", "blue", "green")] * 3)
+    runs = [packing.pack(rows.repartition(n), tokenizer(), capacity=8, quantum=2).collect() for n in (1, 3, 7)]
+    for out in runs:
+        fill = {}
+        for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == fill.get(r.sequence_id, 0)
+            fill[r.sequence_id] = r.offset + r.length
+        assert max(fill.values()) <= 8
+    assert Counter(map(tuple, runs[0])) == Counter(map(tuple, runs[1])) == Counter(map(tuple, runs[2]))
+
+
 def test_cutting_stock_covers_demand():
     rng = np.random.default_rng(1)
     for n in (1, 7, 2000):
@@ -218,6 +270,32 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann_graph.search(ann_graph.build(none), none).isEmpty()
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rows = [(1, [1.0, 0.0], 9, 9)] * 6 + [(i, [1.0, 0.0], 9, 9) for i in (2, 3, 4, 5, 50)] + [(50, [1.0, 0.0], 9, 9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, shard int")  # names that the operator uses
+    got = ann_graph.search(ann_graph.build(table), table.where("vec_id % 50 = 0")).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(50, i, i, 1.0) for i in range(1, 6)]
+
+
+def test_neighbours_keep_double_precision(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e-60, 0.0]), (2, [1e300, 0.0]), (3, [5e-324, 5e-324]), (4, [1e308, -1e308]), (5, [1.0, 1e-9]), (6, [1.0, 2e-9]), (7, [0.0, -0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann_graph.search(ann_graph.build(table), table.where("vec_id = 0"), k=7).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 12)) for r in got] == [(1, 1.0), (2, 1.0), (5, 1.0), (6, 1.0), (3, round(0.5**0.5, 12)), (4, round(0.5**0.5, 12))]
+
+
+def test_neighbours_over_many_shards(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(800, 8)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann_graph.build(table, shard=100)
+    assert index.select("shard").distinct().count() == 8
+    got: dict = {}
+    for r in ann_graph.search(index, table.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == exact(rows)
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.quality for r in labels.where("quality is not null").collect()}

@@ -50,6 +50,22 @@ def test_null_and_repeated_ids_go_only_with_near_duplicates(spark):
     assert component == {1: 1, 6: 5}
 
 
+def test_empty_input(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.isEmpty(), name
+        docs = out if out.columns == list(pipeline.COLUMNS) else docs
+
+
+def test_run_leaves_one_table(spark, sf):
+    from quarry.llm import common
+
+    had = {path for _, path in common._WRITTEN}
+    out = pipeline.run(spark, sf)
+    assert out.count() > 0 and len({path for _, path in common._WRITTEN} - had) == 1
+
+
 def test_driver_contract():
     import __spark_entry__ as entry
 

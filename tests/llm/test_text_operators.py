@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -167,6 +168,39 @@ def test_seeds_cover_a_notice():
         assert "".join(p for _, p in license_scan.seeds(n)) == n.text and len(license_scan.seeds(n)) == n.edits + 1
 
 
+def test_short_notices_need_whole_words():
+    scanner = license_scan.Scanner()
+    labels = lambda text: {x[2] for x in scanner.fuzzy(f" {text} ".encode())}
+    assert labels("under the apache licence 2 0") == {"apache"} and labels("see the mit licence") == labels("mit lisense") == {"mit"}
+    assert not labels("permit license") and not labels("mit lizenz") and not labels("a patchy licence plate")
+
+
+def test_dense_licenses_take_linear_time(spark):
+    scanner, took = license_scan.Scanner(), []
+    for n in (2_000, 8_000):
+        line = b" " + b"gnu general public license " * n
+        began = time.perf_counter()
+        exact, fuzzy = scanner.exact(line), scanner.fuzzy(line)
+        took.append(time.perf_counter() - began)
+        assert len(exact) == n and [x[0] for x in exact] == list(range(0, 4 * n, 4)) and sum(x[2] == "gpl" for x in fuzzy) >= n
+    assert took[1] < 12 * took[0]
+    row = license_scan.scan(spark.createDataFrame([(1, "x MIT License y relased under the mit license", "s")], "doc_id long, text string, spans string")).first()
+    assert {(x.label, x.kind) for x in row.spans} >= {("mit", "phrase"), ("mit", "notice")}
+
+
+def test_dense_secrets(spark):
+    text = "é token=abcdefg x " * 20_000 + "password:hunter22"
+    frame = spark.createDataFrame([(1, text), (2, "AKIA" + "A" * 16 + " token=abcdefgh")], "doc_id long, text string")
+    row = secret_scan.digest(secret_scan.scan(frame)).where("doc_id = 1").first()
+    want = ",".join(f"{k}:{a}:{b}" for a, _, k, b in brute_secrets(text))
+    assert row.n_assign == 20_001 and row.spans == want
+    assert secret_scan.redact(secret_scan.scan(frame)).where("doc_id = 1").first().text == "é [REDACTED] x " * 20_000 + "[REDACTED]"
+    # whether candidates are broadcast or shuffled changes nothing
+    docs = frame.unionByName(spark.createDataFrame([(None, "token=abcdefgh"), (3, "nothing here"), (4, None), (5, "f" * 30)], frame.schema))
+    few, many = (Counter(map(tuple, secret_scan.digest(secret_scan.scan(docs, few=n)).collect())) for n in (100, 0))
+    assert few == many and sum(few.values()) == 6
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var x = "<p>no</p>";</script></head><body><header>Site name</header><nav><a href="/">Home page</a></nav>
 <div class="cookie-notice">We use cookies here</div><article><h1>Head &amp; line</h1><p>First <b>bold</b>
   words&nbsp;here.<p>Second one<ul><li>item 1</li><li>item 2</li></ul><aside>Aside text</aside><div class="ad">Buy now</div><form>Mail <input></form><!-- hidden --></article>
@@ -176,24 +210,70 @@ PAGE = """<html><head><title>T</title><style>p{}</style><script>var x = "<p>no</
 def test_main_text_of_a_page():
     weights = html_extract.fit_weights([PAGE] * 3)
     assert html_extract.extract(PAGE, weights) == "Head & line\nFirst bold words here.\nSecond one\nitem 1\nitem 2"
-    assert html_extract.extract(PAGE.replace("<article>", "<div>").replace("</article>", "</div>"), weights).startswith("Head & line\nFirst bold")
     assert html_extract.extract("<", weights) == "<"
     for empty in (None, "", "<html></html>", "<!--", "<p", "<script>"):
         assert html_extract.extract(empty, weights) == ""
 
 
-def test_region_is_the_best_contiguous_run():
+#: Pages that name no article, some without any telling class; main text marked by hand.
+MARKED = [
+    ("<body><div><a href=/>Start</a> <a href=/n>News</a> <a href=/k>Contact</a></div><div><h2>The long road</h2><p>It was a long road that went over the hills and far away.</p><p>Nobody had walked it for years.</p></div><div><a href=/i>Imprint</a> <a href=/p>Privacy</a></div></body>",
+     "The long road\nIt was a long road that went over the hills and far away.\nNobody had walked it for years."),
+    ("<body><table><tr><td><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></td><td><p>Here the text of the page stands, in a cell, as was the custom long ago.</p></td></tr></table></body>",
+     "Here the text of the page stands, in a cell, as was the custom long ago."),
+    ("<body><nav>Top of it all</nav><div id=x><h1>Bread</h1><p>Take flour, water and salt &amp; a warm place.</p><div class='newsletter-box'>Get our letters</div><p>Wait a day, then bake it hot.</p></div><div class=comments><p>I baked it and it was very good indeed, thank you all!</p></div></body>",
+     "Bread\nTake flour, water and salt & a warm place.\nWait a day, then bake it hot."),
+    ("<body><div><a href=1>A</a><a href=2>B</a></div><p>One paragraph with <a href=x>a link</a> in it, and <i>more</i> words.</p><ul><li>First of the points that it makes</li><li>Second of the points that it makes</li></ul><p>End of it.</p><div><a href=1>C</a><a href=2>D</a></div>",
+     "One paragraph with a link in it, and more words.\nFirst of the points that it makes\nSecond of the points that it makes\nEnd of it."),
+]
+
+
+def test_marked_pages_without_an_article(sf):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf}/pages.parquet").column("html").to_pylist()
+    learned = html_extract.fit_weights(pages)
+    for page, want in MARKED:
+        assert html_extract.extract(page, learned) == want
+    # the scan finds the driver's articles without their tags, and nothing else takes out what it leaves
+    bare = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    assert [html_extract.extract(p, learned) for p in bare] == [html_extract.extract(p, learned) for p in pages]
+    whole = html_extract.region
+    try:
+        html_extract.region = lambda page, weights: [(0, len(page.tokens))]
+        everything = [html_extract.extract(p, learned) for p in pages]
+    finally:
+        html_extract.region = whole
+    assert not [1 for a, b in zip(everything, pages) if a == html_extract.extract(b, learned)]
+
+
+def test_broken_pages_take_linear_time():
+    for make in (lambda n: "<div>" * n + "x" + "</span>" * n, lambda n: "".join(f'<div class="c{i}">' for i in range(n)) + "x", lambda n: "<article><p>" * n + "x" + "</b>" * n, lambda n: "<p>some words " * n, lambda n: "<a '" * n + "x", lambda n: '<a ">' * n + "x"):
+        took = []
+        for n in (4_000, 16_000):
+            began = time.perf_counter()
+            html_extract.extract(make(n))
+            took.append(time.perf_counter() - began)
+        assert took[1] < 1 + 10 * took[0]
+
+
+def test_learned_class_words_are_taken_out():
+    page = "<html><body><div class=zzz>Site words that are no text of it</div><article><p>Main words of the page number {}</p>{}<p>the end</p></article></body></html>"
+    weights = html_extract.fit_weights([page.format(i, "") for i in range(300)])
+    assert weights.furniture(".zzz") and not weights.furniture(".unknown")
+    assert html_extract.extract(page.format(1, "<div class=zzz>nested words</div><div class=other>kept words</div>"), weights) == "Main words of the page number 1\nkept words\nthe end"
+
+
+def test_best_run_is_the_best_contiguous_one():
     rng = random.Random(2)
-    for _ in range(50):
-        seq = [("text", "w " * rng.randint(1, 4), False, False) if rng.random() < 0.5 else ("open", "p", False, False) for _ in range(12)]
-        weights = {"": 1.0, "p": -1.7}
-        value = [len(x[1].split()) if x[0] == "text" else -1.7 for x in seq]
-        a, b = html_extract.region(seq, weights)
-        assert math.isclose(sum(value[a:b]), max(0, max(sum(value[i:j]) for i in range(12) for j in range(i + 1, 13))), abs_tol=1e-9)
+    for _ in range(200):
+        values = [rng.choice([-1.7, 1.0, 2.0, -0.1]) for _ in range(12)]
+        a, b = html_extract.best_run(values)
+        assert math.isclose(sum(values[a:b]), max(0, max(sum(values[i:j]) for i in range(12) for j in range(i + 1, 13))), abs_tol=1e-9)
 
 
 def test_pages_of_the_driver(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("*", "1 as text", "2 as n_chars", "3 as kind")  # names that the operator uses
     rows = {r.page_id: r for r in html_extract.main_text(pages).collect()}
     for p in pages.collect():
         inner = re.search(r"<article>(.*)</article>", p.html, re.S)[1]
@@ -203,7 +283,7 @@ def test_pages_of_the_driver(spark, sf):
 
 def test_mixing_reaches_its_weights(spark):
     docs = spark.range(40_000).selectExpr("id as doc_id", "repeat('x', cast(10 + id % 7 as int)) as text", "case when id % 3 = 0 then 'hot' when id % 50 = 1 then 'rare' else null end as source", "id as mix_copies")
-    out = mixing.mix(docs.drop("mix_copies"), {"hot": 0.2, "rare": 0.3})
+    out = mixing.mix(docs, {"hot": 0.2, "rare": 0.3})  # its own column of that name is replaced
     mass = {r[0]: r[1] for r in out.groupBy("source").agg({"text": "count"}).collect()}
     total = sum(mass.values())
     assert abs(mass["hot"] / total - 0.2) < 0.02 and abs(mass["rare"] / total - 0.3) < 0.03
