@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing, packing, quality_classifier, secret_scan, simhash
-from quarry.llm.common import materialize
+from quarry.llm.common import let_go, materialize, passing
 from quarry.llm.queries import MIX_WEIGHTS, tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,7 +18,10 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; labels of held-out rows are not learnt from."""
+    """Documents that the classifier accepts; labels of held-out rows are not learnt from.
+
+    A null text scores as an empty one; repeated rows are judged alike, null ids as any other.
+    """
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality_classifier.score(docs.select(*COLUMNS), model, COLUMNS)
     return scored.where(F.col("score") >= quality_classifier.THRESHOLD).select(*COLUMNS)
@@ -44,18 +47,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret's span masked."""
+    """All documents, a row for a row, with every secret's span masked; a null text becomes empty."""
     masked = secret_scan.redact(secret_scan.scan(docs, keep=("lang", "source", "n_chars")))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents replicated to the sources' target weights, globally shuffled."""
+    """Documents replicated to the sources' target weights, globally shuffled; a null source counts with the rest."""
     return mixing.mix(docs.select(*COLUMNS), MIX_WEIGHTS).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens, placed in sequences."""
+    """Pieces of the documents' tokens, placed in sequences; a null or empty text is its end token."""
     return packing.pack(docs, tokenizer())
 
 
@@ -69,7 +72,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn; what a stage wrote on its way goes with it, its input once the next table is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with passing():
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), over=before)
+        before = docs
+        let_go(spark)
     return docs
