@@ -1,9 +1,9 @@
 """Quality rules: a rule bitmask ledger.
 
 Every rule is evaluated once per document; the ledger keeps its measurements
-and one long of failure bits.  Policies (name, version, mask of rules) are then
-bit tests on the ledger, and ablations are bitwise aggregates over it: no
-policy change reads a text again.
+and one long of failure bits, and is stored.  Policies (name, version, mask of
+rules) are then bit tests on the stored table, and ablations are bitwise
+aggregates over it: no policy change reads a text again.
 
 All of it is DataFrame functions.  A document is measured within its row, so
 nothing is shuffled and a hot source costs nothing.
@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Words are runs of anything but ASCII white space.
 SPACE = "[ \\t-\\r]"
 WINDOW = 8
@@ -99,6 +101,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.withColumn("failed", F.expr(bits))
 
 
+def stored(ledger: DataFrame) -> DataFrame:
+    """The ledger as a table in the shared folder; policies and ablations read it instead of the texts."""
+    return materialize(ledger, "ledger")
+
+
 def apply_policy(ledger: DataFrame, policy: Policy = DEFAULT, column: str = "kept") -> DataFrame:
     """Add the policy's verdict: true where none of its rules failed."""
     return ledger.withColumn(column, F.col("failed").bitwiseAND(F.lit(policy.mask)) == 0)

@@ -15,12 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+    ledger = quality_rules.apply_policy(quality_rules.stored(quality_rules.ledger(_table(spark, sf_dir, "documents"))))
     return ledger.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(quality_rules.BASE.mask)) != 0).alias("base_failed"), "kept", F.col("failed").alias("failed_bits")
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy does, from the stored ledger."""
+    return quality_rules.ablations(quality_rules.stored(quality_rules.ledger(_table(spark, sf_dir, "documents"))))
+
+
 def op2_ann_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return ann_graph.search(ann_graph.build(vectors), vectors.where("vec_id % 50 = 0"))
@@ -49,6 +54,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact part of the license scan, which SQL can express."""
+    return license_scan.scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
@@ -72,7 +82,8 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    numbered = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return numbered | {"quality_ablations": quality_ablations, "license_phrases": license_phrases}
 
 
 #: Values of the rules as in quality_rules; windows are compared as text here.
@@ -99,6 +110,30 @@ b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
 """
 
+#: The ledger's bits, rule by rule.
+ABLATIONS_SQL = (
+    "WITH b AS ({0}), r(rule, bit) AS (VALUES " + ", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(quality_rules.RULES)) + ") "
+    "SELECT rule, count(*) FILTER (failed_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (failed_bits = bit)::BIGINT AS n_only, count(*) FILTER (failed_bits = 0)::BIGINT AS n_kept, count(*) FILTER (failed_bits & ~bit = 0)::BIGINT AS n_kept_without FROM b, r GROUP BY rule"
+).format(OP1_SQL)
+
+#: Places of the phrases' words among the words of the lower-cased text.
+PHRASES_SQL = (
+    r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents), "
+    "p(phrase, label) AS (VALUES " + ", ".join(f"({p.split()}, '{label}')" for p, label in license_scan.BASE_PHRASES.items()) + "), "
+    "f AS (SELECT doc_id, label, unnest(list_filter(range(0, len(ws) - len(phrase) + 1), lambda i: ws[i + 1:i + len(phrase)] = phrase)) AS i FROM w, p WHERE len(ws) >= len(phrase)), "
+    "a AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM f GROUP BY doc_id) "
+    "SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN a USING (doc_id)"
+)
+
+#: The article's blocks by its tags, as all pages of the driver name it; character references as they occur there.
+OP10_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(h, '</?(?:p|h1|h2|h3|div|ul|ol|li|blockquote)>'), lambda x: trim(regexp_replace(
+  regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
 #: Every 100-byte string's first start, the later ones' union, and what is left.
 OP3_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -152,4 +187,4 @@ FROM (SELECT *, unnest(range(1, mix_copies + 1)) AS mix_copy FROM n)
 
 def oracle_sql() -> dict[str, str]:
     weights = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in MIX_WEIGHTS.items())
-    return {"op1_quality_rules": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op7_secret_scan": secret_spans_sql(), "op9_poisson_mixing": OP9_SQL.format(weights=weights, rest=max(0.0, 1.0 - sum(MIX_WEIGHTS.values())))}
+    return {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATIONS_SQL, "license_phrases": PHRASES_SQL, "op10_html_extract": OP10_SQL, "op3_suffix_dedup": OP3_SQL, "op7_secret_scan": secret_spans_sql(), "op9_poisson_mixing": OP9_SQL.format(weights=weights, rest=max(0.0, 1.0 - sum(MIX_WEIGHTS.values())))}

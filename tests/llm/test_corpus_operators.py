@@ -92,6 +92,17 @@ def test_components_through_rows_without_an_id(spark):
     assert named[1] == named[2] == named[None] == 0 and named[3] != 0
 
 
+def test_links_of_large_variants(spark, monkeypatch):
+    # a variant that more fingerprints share than are compared directly goes by balls instead, with the same links
+    monkeypatch.setattr(simhash, "DIRECT", 4)
+    rng = random.Random(13)
+    centers = [rng.getrandbits(64) for _ in range(5)]
+    pairs = list(enumerate(sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centers for _ in range(60)})))
+    table = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, i) for i, f in pairs], "fp long, node long")
+    got = {r.node: r.component for r in simhash.components(simhash.links(table)).collect()}
+    assert {i: got.get(i, i) for i, _ in pairs} == brute_components(pairs)
+
+
 def test_large_buckets_are_joined_by_balls():
     rng = random.Random(5)
     center = rng.getrandbits(64)
@@ -300,6 +311,8 @@ def test_classifier_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.quality for r in labels.where("quality is not null").collect()}
     rows = [r for r in quality_classifier.classify(docs, labels).collect()]
+    again = quality_classifier.classify(docs.selectExpr("*", "1 as score", "2 as y", "3 as v", "'x' as kind", "0 as bucket"), labels.withColumnRenamed("toxic", "text"))  # names that the operator uses
+    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, rows))
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id in truth]

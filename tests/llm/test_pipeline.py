@@ -66,6 +66,23 @@ def test_run_leaves_one_table(spark, sf):
     assert out.count() > 0 and len({path for _, path in common._WRITTEN} - had) == 1
 
 
+def test_queries_against_their_sql(spark, sf):
+    """The queries that SQL can express, on the driver's smallest tables."""
+    import duckdb
+
+    from quarry.llm import queries
+
+    con = duckdb.connect()
+    for table in ("documents", "pages", "embeddings", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        frame = queries.queries()[name](spark, sf)
+        result = con.execute(sql)
+        have = [d[0] for d in result.description]
+        assert sorted(have) == sorted(frame.columns), name
+        assert Counter(tuple(r[c] for c in have) for r in frame.collect()) == Counter(result.fetchall()), name
+
+
 def test_driver_contract():
     import __spark_entry__ as entry
 
