@@ -269,12 +269,12 @@ def _responses(spark, sf):
 
 add("tech_detected", lambda s, d: detect.detect_tech(_responses(s, d)).select("page_id", text.joined("tech").alias("tech"), detect.cdn("headers").alias("cdn"), detect.blocked("body", "headers").alias("blocked")), f"SELECT page_id, {_case('page_id', _TECHS)} AS tech, CASE WHEN page_id % 10 = 9 THEN 'cloudflare' ELSE '' END AS cdn, '' AS blocked FROM page_rows", PAGE_ROWS)
 _APPS = ['<script src="https://cdn.judge.me/x.js">', '<link href="/wp-content/plugins/elementor/x.css">', '<div class="jdgm-widget">', "<!-- Rank Math SEO -->", "<script src=https://static.klaviyo.com/x></script>"]
-_BLOCKED_PAGES = ["Checking your browser ... Cloudflare", "Sucuri Website Firewall", "Incapsula incident", "plain", "mod_security"]
+_BLOCKED_PAGES = ["Checking your browser ... Cloudflare", "Sucuri Website Firewall", "Incapsula incident", '<script></script><script></script><div id="root">', "mod_security"]
 add("apps_detected", lambda s, d: page_rows(s, d).select("page_id", text.joined(detect.detect_apps(F.concat("html", _pick("page_id", _APPS)))).alias("apps")), f"SELECT page_id, {_case('page_id', ['Judge.me', 'Elementor', 'Judge.me', 'Rank Math', 'Klaviyo'])} AS apps FROM page_rows", PAGE_ROWS)
 add(
     "blocked_pages",
     lambda s, d: page_rows(s, d).select("page_id", _pick("page_id", _BLOCKED_PAGES).alias("body"), F.expr("cast(map() as map<string,string>)").alias("headers")).select("page_id", detect.blocked("body", "headers").alias("blocked"), detect.script_site("body").alias("scripted")),
-    f"SELECT page_id, {_case('page_id', ['cloudflare', 'sucuri', 'imperva', '', 'modsecurity'])} AS blocked, false AS scripted FROM page_rows",
+    f"SELECT page_id, {_case('page_id', ['cloudflare', 'sucuri', 'imperva', '', 'modsecurity'])} AS blocked, page_id % 5 = 3 AS scripted FROM page_rows",
     PAGE_ROWS,
 )
 _DNS_ROWS = {"dns_a": ["23.227.38.1", "1.2.3.4", "", "1.1.1.1"], "dns_cname": ["", "shops.myshopify.com", "", ""], "dns_mx": ["10:aspmx.l.google.com", "", "10:x.mail.protection.outlook.com", ""], "dns_txt": ["", "google-site-verification=x", "v=spf1 include:spf.protection.outlook.com", "facebook-domain-verification=1"], "bgp_asn_org": ["", "CLOUDFLARENET, US", "", ""]}
