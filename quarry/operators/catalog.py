@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.domains import country, lookup_name
@@ -77,8 +77,6 @@ def compare_countries(rows: DataFrame, a: str, b: str, n: int = 10) -> DataFrame
     """Top countries of both technologies, one scan."""
     side = F.explode(F.array_compact(F.array(F.when(holds("http_tech", a), F.lit(a)), F.when(holds("http_tech", b), F.lit(b))))).alias("tech")
     counted = rows.select(side, country().alias("value")).groupBy("tech", "value").agg(F.count("*").alias("cnt"))
-    from pyspark.sql import Window
-
     return counted.withColumn("place", F.row_number().over(Window.partitionBy("tech").orderBy(F.desc("cnt"), "value"))).where(F.col("place") <= n)
 
 
@@ -214,10 +212,20 @@ def newest(rows: DataFrame, n: int, at: str, tie: str) -> DataFrame:
     return rows.orderBy(F.desc(at), F.desc(tie)).limit(n)
 
 
-def sitemap(rows: DataFrame, tech: str = PLATFORM, n: int = 10_000, base: str = "https://example.com", fixed: tuple[str, ...] = ("/", "/top", "/tech", "/compare")) -> DataFrame:
-    """Locations: stores, two for each technology, one for each country, and fixed ones."""
+def sitemap(rows: DataFrame, tech: str = PLATFORM, n: int = 10_000, base: str = "https://example.com", fixed: tuple[str, ...] = ("/", "/top", "/tech", "/compare"), least: int = 5, most: int = 500) -> DataFrame:
+    """Locations: stores, two for each technology, one for each country, and fixed ones.
+
+    Technologies and countries are counted in one scan, as values of two kinds.
+    """
     spark = rows.sparkSession
     stores = ranked(using(rows, tech), n).select(F.concat(F.lit(base + "/store/"), F.regexp_replace("domain", "\\.", "-")).alias("loc"))
-    techs = directory(rows).select(F.explode(F.array(F.concat(F.lit(base + "/tech/"), slug("tech")), F.concat(F.lit(base + "/top/stores-using-"), slug("tech")))).alias("loc"))
-    countries = distribution(using(rows, tech), None, country(), None).select(F.concat(F.lit(base + "/top/stores-"), F.lower("value")).alias("loc"))
-    return stores.unionByName(techs).unionByName(countries).unionByName(spark.createDataFrame([(base + x,) for x in fixed], "loc string"))
+    mark = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x")))
+    none = F.expr("cast(array() as array<string>)")
+    marks = F.concat(mark("tech", values("http_tech")), mark("country", F.when(holds("http_tech", tech), F.array(country())).otherwise(none)))
+    counted = rows.select(F.explode(marks).alias("m")).select("m.*").groupBy("kind", "x").agg(F.count("*").alias("cnt"))
+    placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("cnt"), "x")))  # distinct values, not rows
+    listed = placed.where((F.col("kind") == "country") | ((F.col("cnt") >= least) & (F.col("place") <= most)))
+    of_tech = F.array(F.concat(F.lit(base + "/tech/"), slug("x")), F.concat(F.lit(base + "/top/stores-using-"), slug("x")))
+    of_country = F.array(F.concat(F.lit(base + "/top/stores-"), F.lower("x")))
+    pages = listed.select(F.explode(F.when(F.col("kind") == "tech", of_tech).otherwise(of_country)).alias("loc"))
+    return stores.unionByName(pages).unionByName(spark.createDataFrame([(base + x,) for x in fixed], "loc string"))

@@ -12,7 +12,7 @@ from ..streaming import jobs
 from .adapters import EVENT_LOG, WIDE, event_log, table, wide
 from .book import add
 
-VIEW_NOW = "1998-06-01"
+LOG_NOW, VIEW_NOW = "2024-01-20 12:00:00", "1998-06-01"
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,6 +23,12 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("stream_first_seen", lambda s, d: jobs.drained(jobs.first_of_key(_stream(s, d), "domain", "enriched_at")).select("domain"), "SELECT DISTINCT domain FROM log", EVENT_LOG)
+add(
+    "stream_unexpired",
+    lambda s, d: jobs.drained(jobs.unexpired(_stream(s, d), "enriched_at", F.to_timestamp(F.lit(LOG_NOW)))).groupBy("domain").agg(F.count("*").alias("n")),
+    f"SELECT domain, count(*) AS n FROM log WHERE enriched_at >= TIMESTAMP '{LOG_NOW}' - INTERVAL 24 HOUR GROUP BY domain",
+    EVENT_LOG,
+)
 add(
     "stream_rates",
     lambda s, d: jobs.drained(jobs.rates(_stream(s, d), "enriched_at", "1 hour")).select(F.unix_seconds("start").alias("start_s"), "cnt"),

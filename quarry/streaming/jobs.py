@@ -46,6 +46,15 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/out")
 
 
+def unexpired(stream: DataFrame, at: str, as_of: Column | None = None, hours: int = 24) -> DataFrame:
+    """Rows that have not waited longer than ``hours``.
+
+    With :func:`files` (its ``per_trigger`` bounds what is out at a time) and a
+    checkpoint, which hands out a failed batch again, this is the work queue.
+    """
+    return stream.where(F.col(at) >= (F.current_timestamp() if as_of is None else as_of) - F.expr(f"INTERVAL {int(hours)} HOURS"))
+
+
 def first_of_key(stream: DataFrame, key: str, at: str, lifetime: str = "14 days") -> DataFrame:
     """The first row of a key; its state is forgotten after ``lifetime``, which bounds it."""
     return stream.withWatermark(at, lifetime).dropDuplicatesWithinWatermark([key])
