@@ -148,6 +148,7 @@ def emails(html: str | Column, most: int = 10, limit: int | None = BODY_BYTES) -
     page = filled(html) if limit is None else limit_body(html, limit)
     none = F.expr("cast(array() as array<string>)")
     has = lambda *needles: reduce(lambda a, b: a | b, [F.contains(page, F.lit(n)) for n in needles])
+    low = lambda *needles: reduce(lambda a, b: a | b, [F.contains(F.lower(page), F.lit(n)) for n in needles])
     every = lambda pattern, group=0: F.regexp_extract_all(page, F.lit(pattern), group)
     joined = lambda pattern, form="$1@$2.$3": F.transform(every(pattern), lambda x: F.regexp_replace(x, pattern, form))
     uncovered = F.filter(F.transform(every(HIDDEN, 1), unhide_email), lambda x: F.contains(x, F.lit("@")) & F.contains(x, F.lit(".")) & (F.octet_length(x) > 5) & (F.octet_length(x) < 100))
@@ -158,10 +159,10 @@ def emails(html: str | Column, most: int = 10, limit: int | None = BODY_BYTES) -
         (has("@") & F.contains(F.lower(page), F.lit("data-")), every(DATA_ATTRIBUTE, 1)),
         (has("@"), every(RAW_ADDRESS)),
         (has("@") & has("[", "("), joined(AT_DOT_BRACKETS)),
-        (has("AT", "at", "At"), joined(AT_DOT_WORDS)),
+        (has("AT", "at", "At") & has("DOT", "dot", "Dot"), joined(AT_DOT_WORDS)),
         (has("@"), joined(AT_DOT_SPACED)),
-        (has("{"), joined(AT_DOT_BRACES)),
-        (has("&"), joined(ENTITIES)),
+        (has("{") & low("{at}", "{@}"), joined(AT_DOT_BRACES)),
+        (has("&") & low("&#64;", "&#x40;", "&commat;"), joined(ENTITIES)),
         (has("@") & has("+"), joined(SCRIPT_JOINED, "$1@$2")),
         (has("direction:rtl", "data-reverse"), F.transform(every(REVERSED), lambda x: F.reverse(x))),
     ]
