@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, gather, materialize, partitions
+from .common import as_bytes, cut, gather, let_go, materialize, partitions
 
 SEED = 42
 #: Colliding fingerprints of a task are compared directly up to this many per variant.
@@ -38,18 +38,14 @@ DIRECT = 512
 HOT, HOT_SHARE = 4096, 10_000
 
 
-def fingerprint(text: bytes, size: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included."""
-    words = text.lower().split()
-    n = len(words)
-    if not n:
-        return 0
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if n <= size:
-        return digest(line, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-    starts = np.concatenate(([0], ends[:-1]))
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[: n - size + 1].tolist(), (ends[size - 1 :] - 1).tolist())), np.uint64, n - size + 1)
+def _stirred(x: np.ndarray) -> np.ndarray:
+    """A second hash of 64-bit hashes."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def _majority(hashes: np.ndarray) -> int:
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -57,17 +53,36 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's 64 bits as a signed long) of every row, and the columns in ``keep``."""
+def fingerprint(text: bytes, size: int = 3, prints: int = 1) -> list[int]:
+    """The 64-bit SimHash of a text's word shingles, repeats included; beyond the first, by further hashes of the shingles' hashes."""
+    words = text.lower().split()
+    n = len(words)
+    if not n:
+        return [0] * prints
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if n <= size:
+        hashes = np.array([digest(line, SEED)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+        starts = np.concatenate(([0], ends[:-1]))
+        hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[: n - size + 1].tolist(), (ends[size - 1 :] - 1).tolist())), np.uint64, n - size + 1)
+    return [_majority(hashes if j == 0 else _stirred(hashes + np.uint64(j * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))) for j in range(prints)]
+
+
+def fingerprints(docs: DataFrame, size: int = 3, keep: tuple[str, ...] = (), prints: int | None = None) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint's 64 bits as a signed long) of every row, and the columns in ``keep``; with ``prints``, an array ``fps`` of so many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = prints or 1
         for batch in cut(batches):
             texts = as_bytes(batch.column(1))
-            found = np.fromiter((fingerprint(x or b"", size) for x in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *keep])
+            found = pa.array(np.array([x for t in texts for x in fingerprint(t or b"", size, n)], np.uint64).view(np.int64))
+            if prints:
+                found = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * n), found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, *batch.columns[2:]], names=["doc_id", "fps" if prints else "fp", *keep])
 
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep).mapInArrow(run, f"doc_id long, fp long{kept}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep).mapInArrow(run, f"doc_id long, {'fps array<long>' if prints else 'fp long'}{kept}")
 
 
 class Forest:
@@ -138,7 +153,7 @@ def ball_links(fps: np.ndarray, rows: np.ndarray, forest: Forest, radius: int =
 
 def _by_quarters(rows: DataFrame, distinct: DataFrame, hot: int) -> DataFrame:
     """``rows (key, flip, fp, node)`` with the keys that many fingerprints share dealt out by the other half's quarters."""
-    halves = distinct.select(F.explode(F.expr("array(shiftrightunsigned(fp, 32), 4294967296L + (fp & 4294967295L))")).alias("key"))
+    halves = distinct.select(F.explode(F.expr("array(print * 8589934592L + shiftrightunsigned(fp, 32), print * 8589934592L + 4294967296L + (fp & 4294967295L))")).alias("key"))
     halves = halves.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key")
     if halves.isEmpty():
         return rows
@@ -147,7 +162,7 @@ def _by_quarters(rows: DataFrame, distinct: DataFrame, hot: int) -> DataFrame:
     reached = reached.distinct().withColumn("hot", F.lit(True))
     marked = rows.join(F.broadcast(reached), "key", "left")  # 33 rows for each of at most 2 * HOT_SHARE halves
     dealt = F.expr(
-        "flatten(transform(array(shiftrightunsigned(if(key >= 4294967296L, shiftrightunsigned(fp, 32), fp & 4294967295L), 16), if(key >= 4294967296L, shiftrightunsigned(fp, 32), fp) & 65535L), (v, q) -> "
+        "flatten(transform(array(shiftrightunsigned(if(shiftright(key, 32) % 2 = 1, shiftrightunsigned(fp, 32), fp & 4294967295L), 16), if(shiftright(key, 32) % 2 = 1, shiftrightunsigned(fp, 32), fp) & 65535L), (v, q) -> "
         "transform(if(bit_count(v) % 2 = 1, concat(array(v), transform(sequence(0, 15), b -> v ^ shiftleft(1L, b))), array(v)), x -> shiftleft(1L, 62) | shiftleft(key, 17) | shiftleft(cast(q as long), 16) | x)))"
     )
     return marked.select(F.explode(F.when(F.col("hot"), dealt).otherwise(F.array("key"))).alias("key"), "flip", "fp", "node")
@@ -156,18 +171,21 @@ def _by_quarters(rows: DataFrame, distinct: DataFrame, hot: int) -> DataFrame:
 def links(distinct: DataFrame, radius: int = 3, hot: int | None = None) -> DataFrame:
     """``a, b``: links that connect all distinct fingerprints within the radius.
 
-    ``distinct`` holds ``fp, node`` with unique ``fp``.  Not every linked pair is
-    listed: what is left out is reached through the links of a forest.  ``hot``
-    is the number of fingerprints beyond which a shared half is dealt out; it
-    changes no component.
+    ``distinct`` holds ``fp, node`` with unique ``fp``; with a column ``print``,
+    fingerprints meet those of the same number only, and each is unique within
+    it.  Not every linked pair is listed: what is left out is reached through the
+    links of a forest.  ``hot`` is the number of fingerprints beyond which a
+    shared half is dealt out; it changes no component.
     """
+    if "print" not in distinct.columns:
+        distinct = distinct.withColumn("print", F.lit(0))
     if radius != 3:
         raise ValueError("the halves and parities used here hold for three bits")
     spark = distinct.sparkSession
     variant = F.expr(
         "flatten(transform(array(shiftrightunsigned(fp, 32), fp & 4294967295L), (v, half) -> concat("
-        "array(named_struct('key', half * 4294967296L + v, 'flip', false)),"
-        "if(bit_count(v) % 2 = 1, transform(sequence(0, 31), b -> named_struct('key', half * 4294967296L + (v ^ shiftleft(1L, b)), 'flip', true)), array()))))"
+        "array(named_struct('key', print * 8589934592L + half * 4294967296L + v, 'flip', false)),"
+        "if(bit_count(v) % 2 = 1, transform(sequence(0, 31), b -> named_struct('key', print * 8589934592L + half * 4294967296L + (v ^ shiftleft(1L, b)), 'flip', true)), array()))))"
     )
     rows = distinct.select("fp", "node", F.explode(variant).alias("v")).select(F.col("v.key").alias("key"), F.col("v.flip").alias("flip"), "fp", "node")
     rows = _by_quarters(rows, distinct, max(HOT, distinct.count() // HOT_SHARE) if hot is None else hot)
@@ -242,6 +260,24 @@ def groups(prints: DataFrame, radius: int = 3) -> DataFrame:
     return distinct.join(reach, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component_fp"))
 
 
+def linked(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """``node, component`` of every distinct row of fingerprints in ``prints (fps)``; ``node`` is the hash of the row.
+
+    Rows are linked where fingerprints of one number lie within the radius.  One
+    fingerprint of 64 bits meets a near copy by chance, and several, each by other
+    hashes, meet it the surer.
+    """
+    spark = prints.sparkSession
+    distinct = materialize(prints.select(F.xxhash64("fps").alias("node"), "fps").groupBy("node").agg(F.any_value("fps").alias("fps")), "distinct")
+    each = distinct.select("node", F.posexplode("fps").alias("print", "fp"))
+    first = materialize(each.groupBy("print", "fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "firsts")
+    same = each.withColumnRenamed("node", "b").join(first.where("n > 1").withColumnRenamed("node", "a"), ["print", "fp"]).where("a <> b").select("a", "b")
+    near = materialize(links(first.select("print", "fp", "node"), radius), "near")
+    let_go(spark)
+    reach = components(same.unionByName(near))
+    return distinct.select("node").join(reach, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``.
 

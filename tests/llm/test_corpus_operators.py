@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from pyspark.sql.functions import col as spark_col
+from pyspark.sql.functions import xxhash64 as spark_hash
 
 from quarry.llm import ann_graph, packing, quality_classifier, simhash, suffix_dedup
 from quarry.llm.queries import tokenizer
@@ -73,6 +74,27 @@ def test_links_between_fingerprints(spark):
         assert {i: got.get(i, i) for i, _ in pairs} == brute_components(pairs)
 
 
+def test_several_fingerprints(spark):
+    texts = [" ".join(f"w{(i * 31 + k * 7) % 97}" for k in range(30)) for i in range(6)] + ["", "one", None, "one"]
+    rows = frame(spark, list(enumerate(texts)))
+    got = {r.doc_id: [x % 2**64 for x in r.fps] for r in simhash.fingerprints(rows, 3, (), 4).collect()}
+    assert {i: g[0] for i, g in got.items()} == {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+    assert got[6] == got[8] == [0] * 4 and len(set(got[0])) == 4 and got[7] == got[9]
+    # links across numbers of fingerprints, equal ones among them
+    rng = random.Random(21)
+    base = [[rng.getrandbits(64) for _ in range(3)] for _ in range(30)]
+    sets = base + [[b[0] ^ 7, rng.getrandbits(64), rng.getrandbits(64)] for b in base[:8]] + [[rng.getrandbits(64), b[1], rng.getrandbits(64)] for b in base[4:12]] + [[rng.getrandbits(64), rng.getrandbits(64), b[0]] for b in base[20:24]]
+    signed = [[x - 2**64 if x >= 2**63 else x for x in fps] for fps in sets]
+    table = spark.createDataFrame([(i, fps) for i, fps in enumerate(signed)], "i int, fps array<long>")
+    found = {r.i: r.component for r in table.withColumn("node", spark_hash("fps")).join(simhash.linked(table), "node").collect()}
+    group = {}
+    for i, x in enumerate(sets):
+        near = {group[j] for j in group if any((p ^ q).bit_count() <= 3 for p, q in zip(x, sets[j]))} | {i}
+        group[i] = min(near)
+        group.update({j: min(near) for j, c in group.items() if c in near})
+    assert len(set(found.values())) == len(set(group.values())) and all((found[i] == found[j]) == (group[i] == group[j]) for i in group for j in group)
+
+
 def test_a_hot_half_is_dealt_out(spark):
     rng = random.Random(9)
     half = 0x9E3779B9 << 32
