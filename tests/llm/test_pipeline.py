@@ -17,8 +17,13 @@ def test_stages(spark, sf):
     verdict = {r.doc_id: r.predicted for r in quality_classifier.classify(before, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
     assert {r.doc_id for r in after.collect()} == {k for k, v in verdict.items() if v}
     before, after = steps["simhash near-dedup"]
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(before).collect()}
-    assert sorted(r.doc_id for r in after.collect()) == sorted(set(groups.values()))
+    prints = [(r.doc_id, simhash.fingerprint((r.text or "").encode(), pipeline.SHINGLE, pipeline.PRINTS)) for r in before.collect()]
+    left: dict = {}  # by brute force: links between any two documents, and the least id of each group
+    for a, x in prints:
+        near = {left[b] for b, y in prints if b in left and any((p ^ q).bit_count() <= 3 for p, q in zip(x, y))} | {a}
+        left[a] = min(near)
+        left.update({b: min(near) for b, c in left.items() if c in near})
+    assert sorted(r.doc_id for r in after.collect()) == sorted(set(left.values()))
     before, after = steps["secret scan"]
     assert after.count() == before.count() and after.columns == list(pipeline.COLUMNS)
     assert secret_scan.digest(secret_scan.scan(after)).where("n_assign + n_access + n_hex > 0").isEmpty()
@@ -38,6 +43,16 @@ def test_repeated_rows_leave_one(spark):
     assert sorted((r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str) == [1, None]
 
 
+def test_near_copies_leave_one(spark):
+    words = [f"w{i * 7919 % 1000}" for i in range(400)]
+    near, far = words.copy(), words.copy()
+    near[200] = "changed"  # 5 of 396 shingles: a similarity of 0.975
+    for i in range(5, 400, 10):
+        far[i] = "changed"  # half of them
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "s", 9), (2, " ".join(near), "en", "s", 9), (3, " ".join(far), "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
 def test_null_and_repeated_ids_go_only_with_near_duplicates(spark):
     # eleven texts of which no two are alike
     texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(11)]
