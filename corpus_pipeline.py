@@ -15,6 +15,8 @@ from quarry.llm.queries import MIX_WEIGHTS, tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
+#: Near duplicates: words in a shingle, and fingerprints of each text.
+SHINGLE, PRINTS = 5, 8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +32,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints: the one of the least id, known ids before null.
 
-    Rows are told apart by id and text, so rows with a null or a repeated id go
-    only where their texts are near duplicates.
+    Fingerprints are of five-word shingles, ``PRINTS`` for each text.  Rows are
+    told apart by id and text, so rows with a null or a repeated id go only where
+    their texts are near duplicates.
     """
     keyed = docs.select(*COLUMNS, F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
-    prints = materialize(simhash.fingerprints(keyed, keep=("text_key",)), "prints")
+    prints = materialize(simhash.fingerprints(keyed, SHINGLE, ("text_key",), PRINTS), "prints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "n")).alias("k")
-    first = prints.groupBy("fp", "doc_id", "text_key").agg(F.count("*").alias("n")).groupBy("fp").agg(least)
-    found = first.join(simhash.groups(prints), "fp").groupBy("component_fp").agg(F.min("k").alias("k"))
+    first = prints.groupBy(F.xxhash64("fps").alias("node"), "doc_id", "text_key").agg(F.count("*").alias("n")).groupBy("node").agg(least)
+    found = first.join(simhash.linked(prints), "node").groupBy("component").agg(F.min("k").alias("k"))
     kept = materialize(found.select("k.doc_id", "k.text_key", "k.n"), "kept")
+    let_go(spark)
     same = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed["text_key"] == kept["text_key"])
     out = keyed.join(kept.hint("shuffle_hash"), same, "left_semi")
     # several rows of one id and text
