@@ -35,6 +35,8 @@ QUERY_BEAM = 160
 #: Searches begin at this many nodes, each the farthest from those before, so that no dense group captures them.
 ENTRIES = 32
 BATCH = 256
+#: Queries that a task answers, about: more are spread over tasks that hold the same shard.
+BLOCK = 1 << 18
 
 
 def _valid(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -235,13 +237,13 @@ class _Loaded(Graph):
         self.unit, self.edges, self.entries = unit, edges, np.array(entries, np.int64)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = QUERY_BEAM) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = QUERY_BEAM, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest of each query by cosine, ties to the smaller id.
 
     ``queries`` has ``vec_id, embedding``; a query's own id is no result, and
     queries that share an id are answered as one.  Queries go to every shard in
-    blocks; a task holds one shard's graph and one block.  Scores are computed
-    anew from the original vectors in double precision.  An index needs
+    blocks of about ``block``; a task holds one shard's graph and answers one block.
+    Scores are computed anew from the original vectors in double precision.  An index needs
     ``k + 1`` ids for each vector to be whole.
     """
     shards = 1 + (index.agg(F.max("shard")).first()[0] or 0)
@@ -252,9 +254,13 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = QUERY_B
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "v"])
 
     asked = queries.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null").mapInArrow(taken, "id long, v binary")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("id").alias("node"), F.expr("cast(null as array<int>)").alias("entries"), "v", F.expr("cast(null as array<long>)").alias("ids"), F.expr("cast(null as array<int>)").alias("edges"))
-    nodes = index.select("shard", F.lit(0).alias("kind"), F.col("node").cast("long").alias("node"), "entries", "v", "ids", "edges")
-    both = nodes.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("kind", F.length("v"), "node", F.isnull("edges"))
+    asked = materialize(asked, "queries")
+    blocks = max(1, -(-asked.count() // block))
+    none = lambda kind: F.expr(f"cast(null as {kind})")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), F.col("id").alias("node"), none("array<int>").alias("entries"), "v", none("array<long>").alias("ids"), none("array<int>").alias("edges"))
+    nodes = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), F.col("node").cast("long").alias("node"), "entries", "v", "ids", "edges")
+    both = nodes.unionByName(asked).withColumn("task", F.col("shard") * blocks + F.col("block")).drop("shard", "block")
+    both = both.repartitionById(shards * blocks, "task").sortWithinPartitions("kind", F.length("v"), "node", F.isnull("edges")).drop("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}  # by the vectors' length
@@ -290,7 +296,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = QUERY_B
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
         for batch in batches:  # nodes come first
-            for _, kind, node, entries, v, ids, edges in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for kind, node, entries, v, ids, edges in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if kind == 0:
                     held.setdefault(len(v), []).append((v, ids, edges, entries))
                     continue

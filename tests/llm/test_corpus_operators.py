@@ -327,6 +327,9 @@ def test_neighbours_over_many_shards(spark):
     for r in ann_graph.search(index, table.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == exact(rows)
+    columns = ("query_id", "rank", "vec_id", "score")
+    whole, parted = (Counter(map(tuple, ann_graph.search(index, table.where("vec_id % 50 = 0"), block=n).select(*columns).collect())) for n in (100, 3))
+    assert whole == parted and sum(whole.values()) == 80
 
 
 def test_classifier_on_held_out_rows(spark):
