@@ -233,9 +233,17 @@ def expire(spark: SparkSession, path: str, keep: int = 2) -> None:
     by: dict[int, list] = {}
     for version, bucket, folder in found:
         by.setdefault(bucket, []).append((version, folder))
+    left: dict = {}
     for held in by.values():
-        for _, folder in sorted(held, key=lambda x: x[0])[:-keep]:
+        ordered = sorted(held, key=lambda x: x[0])
+        for _, folder in ordered[:-keep]:
             fs.delete(folder, True)
+        for place, (version, folder) in enumerate(ordered):
+            gone, parent = left.get(version, (True, folder.getParent()))
+            left[version] = (gone and place < len(ordered) - keep, parent)
+    for gone, parent in left.values():  # a version that no bucket needs
+        if gone:
+            fs.delete(parent, True)
 
 
 def current_view(spark: SparkSession, path: str) -> DataFrame:

@@ -74,6 +74,8 @@ def test_current_view_ignores_what_is_unfinished_and_expires(spark, tmp_path):
     for version, bucket, _ in jobs._versions(spark, view)[1]:
         held[bucket] = held.get(bucket, 0) + 1
     assert max(held.values()) <= 2
+    versions = {v for v, _, _ in jobs._versions(spark, view)[1]}
+    assert {int(x.split("=")[1]) for x in os.listdir(view)} == versions  # folders without a bucket go
     # a version that is being written has no mark yet
     newest = max(os.listdir(view))
     shutil.copytree(f"{view}/{newest}", f"{view}/version={n + 7:012d}", ignore=shutil.ignore_patterns("_SUCCESS*"))
