@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import time
 import uuid
@@ -18,14 +20,35 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from ..operators.current import latest, month
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share (``spark.checkpoint.dir``); a local session may leave that unset."""
+    """A new folder in the one that driver and executors share (``spark.checkpoint.dir``), deleted when the process ends; a local session may leave that unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quarry-")
-    return f"{path.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+        _MADE.append((spark, path))
+    made = f"{path.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    _MADE.append((spark, made))
+    return made
+
+
+def _clean() -> None:
+    for spark, path in _MADE:
+        try:
+            if "://" not in path and not path.startswith("file:"):
+                shutil.rmtree(path, ignore_errors=True)
+            elif spark.sparkContext._jsc is not None:
+                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the process ends anyway
+            pass
+
+
+atexit.register(_clean)
 
 
 def files(spark: SparkSession, path: str, schema, per_trigger: int = 64, form: str = "parquet") -> DataFrame:
