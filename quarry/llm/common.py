@@ -49,12 +49,19 @@ def materialize(df: DataFrame, label: str, over: DataFrame | None = None) -> Dat
     _WRITTEN.append((spark, path))
     found = spark.read.schema(schema).parquet(path)
     _PATHS[found] = path
-    if over is not None and (old := (spark, _PATHS.pop(over))) in _WRITTEN:
-        _WRITTEN.remove(old)
-        discard(*old)
+    if over is not None:
+        done_with(over)
     return found
 
 
+def done_with(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` has written and nothing needs any more."""
+    for table in tables:
+        if (old := (table.sparkSession, _PATHS.pop(table))) in _WRITTEN:
+            _WRITTEN.remove(old)
+            discard(*old)
+
+
 def let_go(spark: SparkSession) -> None:
     """Have the driver notice which plans are gone, so that the shuffle files behind them are deleted."""
     gc.collect()

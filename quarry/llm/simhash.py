@@ -14,9 +14,7 @@ then still meets at one variant (at most the 65,536 values of the last quarter
 and their neighbours) is joined inside its task by the 64-bit ball of the same
 kind, so the work stays linear in the group, and a task sends on a spanning
 forest of its links, never all pairs.  Components are then found by alternating
-large-star and small-star steps over the links of distinct fingerprints; a star
-with many rays is a skewed join without an aggregate above it, which adaptive
-execution divides.
+large-star and small-star steps over the links of distinct fingerprints.
 """
 
 from __future__ import annotations
@@ -29,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, gather, let_go, materialize, partitions
+from .common import as_bytes, cut, done_with, gather, let_go, materialize, partitions
 
 SEED = 42
 #: Colliding fingerprints of a task are compared directly up to this many per variant.
 DIRECT = 512
 #: A half is dealt out by quarters if more fingerprints hold it than this, and than a ten-thousandth of all: at most 20,000 halves.
 HOT, HOT_SHARE = 4096, 10_000
+#: Links beyond which one node's may be too many for a task.
+STAR = 10_000_000
 
 
 def _stirred(x: np.ndarray) -> np.ndarray:
@@ -227,26 +227,36 @@ def links(distinct: DataFrame, radius: int = 3, hot: int | None = None) -> DataF
     return rows.repartition(partitions(spark), "key").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, star: int = STAR) -> DataFrame:
     """``node, component``: the least node that each node of ``edges (a, b)`` reaches.
 
     Large-star and small-star steps alternate until no link moves; each step
     aggregates partially before its shuffle, and links are written to the
-    shared folder between rounds.
+    shared folder between rounds.  With more than ``star`` links a node may have
+    more rays than a task should join: minima are then written too, so that both
+    sides of a join are plain shuffles, which adaptive execution divides.
     """
     links = materialize(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
+    before, size = None, links.count()
     while True:
+        written: list[DataFrame] = []
+
+        def kept(df: DataFrame) -> DataFrame:
+            if size > star:
+                written.append(df := materialize(df, "star"))
+            return df
+
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         links = materialize(small, "links", over=links)
+        done_with(*written)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
+        before, size = now, now[0]
 
 
 def groups(prints: DataFrame, radius: int = 3) -> DataFrame:

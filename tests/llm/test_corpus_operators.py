@@ -114,6 +114,25 @@ def test_components_through_rows_without_an_id(spark):
     assert named[1] == named[2] == named[None] == 0 and named[3] != 0
 
 
+@pytest.mark.parametrize("star", [simhash.STAR, 0])
+def test_components_of_stars_and_chains(spark, star):
+    rng = random.Random(17)
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(90)] + [(5000, 5000)]
+    rng.shuffle(edges)
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    got = {r.node: r.component for r in simhash.components(spark.createDataFrame(edges, "a long, b long"), star).collect()}
+    assert {x: got.get(x, x) for x in up} == {x: root(x) for x in up}
+
+
 def test_links_of_large_variants(spark, monkeypatch):
     # a variant that more fingerprints share than are compared directly goes by balls instead, with the same links
     monkeypatch.setattr(simhash, "DIRECT", 4)
