@@ -152,28 +152,64 @@ def throttled(stream: DataFrame, key: str, at: str, gap: float, lifetime: str =
     return walked.select("k", F.timestamp_micros("us").alias("at"), (F.col("wait") == 0).alias("accepted"), F.when(F.col("wait") > 0, F.col("wait") / 1e6).alias("wait_s"))
 
 
-def quota(stream: DataFrame, user: str, at: str, limit: int, seconds: int = 60, lifetime: str = "10 minutes") -> DataFrame:
-    """``k, bucket, at, allowed``: is the request among the first ``limit`` of its user's fixed interval?  State: a count for each open interval."""
+#: A missing time, and a count that is kept for good.
+_NEVER, _FOREVER = -(1 << 63), (1 << 63) - 1
+
+
+def quota(stream: DataFrame, user: str, at: str, limit: int, seconds: int = 60, lifetime: str = "10 minutes", groups: int = 512) -> DataFrame:
+    """``k, bucket, at, allowed``: is the request among the first ``limit`` of its user's fixed interval?
+
+    Users' intervals are dealt to ``groups`` by hash (the same number as long as a
+    checkpoint is used).  A group's rows are counted together and its state holds
+    a count for each open interval, so Python is called for each group, not for
+    each interval.  Requests without a time share one interval, which stays open.
+    """
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     keep_ms = _ms(lifetime) + seconds * 1000
+    fields = pa.schema([("k", pa.string()), ("bucket", pa.int64()), ("n", pa.int64()), ("until", pa.int64())])
 
     def walk(name, batches, state: GroupState):
-        if state.hasTimedOut:
+        now = state.getCurrentWatermarkMs()
+        held = pa.ipc.open_stream(bytes(state.get[0])).read_all() if state.exists else fields.empty_table()
+        held = held.filter(pa.array(held["until"].to_numpy() > now))
+        users, buckets, n, until = held["k"].to_pandas(), *(held[c].to_numpy() for c in ("bucket", "n", "until"))
+        if not state.hasTimedOut:
+            parts = [(rows["k"], rows["bucket"].to_numpy(np.int64), rows["us"].to_numpy(np.int64)) for rows in batches]
+            k, bucket, us = pd.concat([p[0] for p in parts], ignore_index=True), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+            # places of intervals: those held first, in their order
+            who, names = pd.factorize(pd.concat([users.astype(object), k.astype(object)], ignore_index=True), use_na_sentinel=False)
+            when, starts = pd.factorize(np.concatenate([buckets, bucket]))
+            place, pairs = pd.factorize(who.astype(np.int64) * len(starts) + when)
+            place = place[len(n) :]
+            had = np.concatenate([n, np.zeros(len(pairs) - len(n), np.int64)])
+            came = np.bincount(place, minlength=len(pairs))
+            order = np.lexsort((us, place))
+            nth = np.empty(len(us), np.int64)
+            nth[order] = np.arange(len(us)) - np.repeat(np.cumsum(came) - came, came)
+            users, buckets, n = pd.Series(np.asarray(names, object)[pairs // len(starts)], dtype=object), starts[pairs % len(starts)], had + came
+            renewed = np.where(buckets == _NEVER, _FOREVER, np.maximum(np.where(buckets == _NEVER, 0, buckets) * seconds * 1000, now) + keep_ms)
+            until = np.where(came > 0, renewed, np.concatenate([until, np.zeros(len(pairs) - len(until), np.int64)]))
+            yield pd.DataFrame({"k": k, "bucket": bucket, "us": us, "allowed": had[place] + nth < limit})
+        if not len(n):
             state.remove()
             return
-        had = state.get[0] if state.exists else 0
-        us = np.sort(np.concatenate([rows["us"].to_numpy(np.int64) for rows in batches]))
-        state.update((had + len(us),))
-        state.setTimeoutTimestamp(max(int(name[1]) * seconds * 1000, state.getCurrentWatermarkMs()) + keep_ms)
-        yield pd.DataFrame({"k": name[0], "bucket": name[1], "us": us, "allowed": had + np.arange(len(us)) < limit})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, fields) as out:
+            out.write_table(pa.table([pa.array(users, pa.string(), from_pandas=True), buckets, n, until], schema=fields))
+        state.update((sink.getvalue().to_pybytes(),))
+        if until.min() < _FOREVER:
+            state.setTimeoutTimestamp(int(until.min()))
 
     narrow = stream.withWatermark(at, lifetime).select(F.col(user).cast("string").alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), at)
     keyed = narrow.withColumn("bucket", F.floor(F.col("us") / F.lit(seconds * 1_000_000)).cast("long"))
-    walked = keyed.groupBy("k", "bucket").applyInPandasWithState(walk, "k string, bucket long, us long, allowed boolean", "n long", "append", GroupStateTimeout.EventTimeTimeout)
-    return walked.select("k", "bucket", F.timestamp_micros("us").alias("at"), "allowed")
+    dealt = keyed.select(F.pmod(F.xxhash64("k", "bucket"), F.lit(groups)).alias("dealt"), "k", *[F.coalesce(c, F.lit(_NEVER)).alias(c) for c in ("bucket", "us")], at)
+    walked = dealt.groupBy("dealt").applyInPandasWithState(walk, "k string, bucket long, us long, allowed boolean", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    known = lambda c: F.when(F.col("us") != _NEVER, c)
+    return walked.select("k", known(F.col("bucket")).alias("bucket"), known(F.timestamp_micros("us")).alias("at"), "allowed")
 
 
 def _ms(interval: str) -> int:

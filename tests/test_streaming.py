@@ -7,6 +7,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import current
 from quarry.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -92,6 +93,23 @@ def test_throttle_and_quota_remember_between_batches(spark, tmp_path):
     assert allowed == [("a", 0, True), ("a", 4, True), ("a", 9, True), ("a", 12, False), ("b", 12, True)]
 
 
+def test_quota_counts_many_intervals_together_and_forgets_them(spark, tmp_path):
+    rows = [(f"u{i % 1500}" if i % 7 else None, T0 + dt.timedelta(seconds=i // 12), 1, i) for i in range(6000)] + [(k, None, 1, 6000 + i) for i, k in enumerate(["a", None, "a", "a", "b"])]
+    parts = [rows[:2500], rows[2500:4000] + rows[6000:6003], rows[4000:6000] + rows[6003:]]
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = jobs.files(spark, f"{tmp_path}/in", SCHEMA, 1)
+    got = jobs.drained(jobs.quota(source, "domain", "enriched_at", 2))
+    want = current.quota(spark.createDataFrame(rows, SCHEMA), "domain", "enriched_at", "id", F.lit(2))
+    tuples = lambda df, *names: sorted(map(str, df.select(*names).toPandas().itertuples(index=False, name=None)))
+    assert tuples(got, "k", "bucket", "at", "allowed") == tuples(want.withColumn("bucket", F.col("bucket").cast("long")), "domain", "bucket", "enriched_at", "allowed")
+    put(spark, f"{tmp_path}/in", [("z", 7200, 1, 1)])
+    query = jobs.quota(source, "domain", "enriched_at", 2).writeStream.foreachBatch(lambda batch, _: batch.count()).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [p.stateOperators[0].numRowsTotal for p in query.recentProgress]
+    assert max(states) <= 512 and states[-1] <= 4  # at most one for each group; in the end those of z and of requests without a time
+
+
 def test_a_table_is_refreshed_and_kept_on_failure(spark):
     now, answers = [0.0], [spark.range(1), spark.range(2), None]
 
